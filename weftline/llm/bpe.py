@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from weftline.llm.staging import small_batches
 
 #: The split pattern of byte-level BPE vocabularies, white space as Unicode lists it.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 CACHE_ENTRIES = 400_000
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe
+from weftline.llm import bpe, mixing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,8 +27,15 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of each document the mix takes, and the shards its copies go to."""
+    mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_shards")).alias("taken"), F.col("mix_shards").alias("shards"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {}
