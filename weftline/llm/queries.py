@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, mixing
+from weftline.llm import bpe, langid, mixing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every text, learnt from those whose id's CRC is not divisible by 5."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = langid.train(docs.filter(~held_out), key=F.col("doc_id"))
+    found = langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, score_col="score")
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of each document the mix takes, and the shards its copies go to."""
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
@@ -35,6 +44,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
+    "op8_language_id": op8_language_id,
     "op10_mixing": op10_mixing,
 }
 
