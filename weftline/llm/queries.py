@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, langid, mixing
+from weftline.llm import bpe, langid, mixing, rules
+from weftline.llm.staging import staged
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +28,16 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of every text, the fixed base rules, and the verdict of rules learnt from the labels."""
+    stats = staged(rules.with_statistics(table(spark, folder, "documents").select("doc_id", "text")), "statistics")
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    learnt = rules.fit(stats.join(labels, "doc_id"), F.col("quality") == 0, F.col("doc_id"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    rule = rules.verdict(learnt)
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & rule.isNull()).alias("kept"), rule.alias("rule"))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every text, learnt from those whose id's CRC is not divisible by 5."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -44,6 +55,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
+    "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
     "op10_mixing": op10_mixing,
 }
