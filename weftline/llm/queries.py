@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, langid, mixing, rules
+from weftline.llm import bpe, langid, lines, mixing, rules
 from weftline.llm.staging import staged
 
 
@@ -21,6 +21,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the lines that stay."""
+    kept = lines.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__kept").alias("n_kept"))
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every text's ids and of the text decoded from them."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -54,6 +60,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,

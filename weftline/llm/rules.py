@@ -181,6 +181,16 @@ def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray, names: Sequence[str]) ->
     return rule[:n], precision, hits
 
 
+def _simplified(rule: Rule) -> Rule:
+    """Of conditions on one side of a feature, the narrowest."""
+    out: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        old = out.get((c.feature, c.above))
+        if old is None or (c.threshold > old.threshold) == c.above:
+            out[c.feature, c.above] = c
+    return tuple(out.values())
+
+
 def learn(x: np.ndarray, bad: np.ndarray, names: Sequence[str], min_precision: float = 0.9, min_hits: int = 3, most_rules: int = 12, most_conditions: int = 4, seed: int = 5) -> list[Rule]:
     """Ordered rules for ``bad`` rows by sequential covering."""
     rules: list[Rule] = []
@@ -192,7 +202,7 @@ def learn(x: np.ndarray, bad: np.ndarray, names: Sequence[str], min_precision: f
         rule, precision, hits = _prune(_grow(x[grow_on], bad[grow_on], names, most_conditions), x[~grow_on], bad[~grow_on], names)
         if not rule or precision < min_precision or hits < min_hits:
             break
-        rules.append(rule)
+        rules.append(_simplified(rule))
         left = ~_covers(rule, x, names)
         x, bad = x[left], bad[left]
     return rules
