@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, langid, lines, mixing, rules
+from weftline.llm import bpe, langid, lines, mixing, probminhash, rules
 from weftline.llm.staging import staged
 
 
@@ -21,6 +21,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near copies that each document belongs to."""
+    found = probminhash.classes(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies", "n_shingles")
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the lines that stay."""
     kept = lines.dedup(table(spark, folder, "documents").select("doc_id", "text"))
@@ -60,6 +66,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash": op2_minhash,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op7_quality_rules": op7_quality_rules,
