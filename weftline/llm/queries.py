@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, langid, lines, mixing, probminhash, rules
+from weftline.llm import bpe, langid, lines, mixing, probminhash, rules, urls
 from weftline.llm.staging import staged
 
 
@@ -27,6 +27,15 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies", "n_shingles")
 
 
+URL_RULES = [urls.Rule("allow", "org/"), urls.Rule("block", "example.org/es/"), urls.Rule("block", "example.org/en/1"), urls.Rule("allow", "com/fr/"), urls.Rule("block", "com/de/")]
+
+
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule that fits each page's URL, and the verdict: the rule's, else that of the models trained on URLs with rules."""
+    judged = urls.judge(table(spark, folder, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict"), F.col("__score").alias("score"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the lines that stay."""
     kept = lines.dedup(table(spark, folder, "documents").select("doc_id", "text"))
@@ -67,6 +76,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
+    "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op7_quality_rules": op7_quality_rules,
