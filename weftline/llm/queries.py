@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, langid, lines, mixing, probminhash, rules, urls
+from weftline.llm import bpe, langid, lines, mixing, probminhash, rules, urls, warc
 from weftline.llm.staging import staged
 
 
@@ -49,6 +49,12 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as its record in the archives says it."""
+    found = warc.round_trip(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics of every text, the fixed base rules, and the verdict of rules learnt from the labels."""
     stats = staged(rules.with_statistics(table(spark, folder, "documents").select("doc_id", "text")), "statistics")
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
+    "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
     "op10_mixing": op10_mixing,
