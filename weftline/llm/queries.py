@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, langid, lines, mixing, probminhash, rules, urls, warc
+from weftline.llm import bpe, langid, lines, mixing, neighbours, probminhash, rules, urls, warc
 from weftline.llm.staging import staged
 
 
@@ -74,6 +74,11 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    return neighbours.search(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of each document the mix takes, and the shards its copies go to."""
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
+    "op9_neighbours": op9_neighbours,
     "op10_mixing": op10_mixing,
 }
 
