@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, langid, lines, mixing, neighbours, probminhash, rules, urls, warc
+from weftline.llm import bpe, langid, lines, mixing, neighbours, pitmanyor, probminhash, rules, urls, warc
 from weftline.llm.staging import staged
 
 
@@ -21,6 +21,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of every text, by a model of those whose id's CRC is not divisible by 10."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
+    docs = table(spark, folder, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    model = pitmanyor.train(docs.filter("not held_out"))
+    return pitmanyor.score(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """The class of near copies that each document belongs to."""
     found = probminhash.classes(table(spark, folder, "documents"))
@@ -86,6 +94,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_minhash": op2_minhash,
     "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
