@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.staging import drop, setting, staged
+from weftline.llm.staging import drop, staged
 
 GROUP = 10
 MOST_ROUNDS = 5
@@ -55,23 +55,35 @@ def _grouped_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def linked(items: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """Edges (a, b) between similar nodes, enough for their components.
+def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame | None:
+    """Edges (a, b) between nodes whose sets have at least ``threshold`` as exact Jaccard similarity, enough for their components; None without candidates.
 
-    ``items``: node (unique long) and bands (array of long keys). ``similar`` keeps of pairs (a, b) those that are similar, exactly.
+    ``items``: node (unique long) and bands (array of long keys). ``sets_of`` gets the nodes that share a key with others
+    (node) and gives node and items (array without repeats) for each; it is called once.
     """
     keys = items.select("node", F.explode(F.array_distinct("bands")).alias("key"))
-    sizes = staged(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("rep"), F.min_by("node", F.xxhash64("node")).alias("rep2")).filter("n > 1"), "buckets")
+    sizes = staged(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("rep"), F.max("node").alias("rep2")).filter("n > 1"), "buckets")
     if sizes.isEmpty():
+        drop(sizes)
         return None
-    with setting(items.sparkSession, **BLOOM):
-        members = staged(keys.join(sizes.filter("n > 1"), "key").select("key", "node", "n", "rep", "rep2"), "members")
-    drop(sizes)
+    # A bucket of two is known from its least and greatest node; only larger ones are looked up again.
+    two = sizes.filter("n = 2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    members = staged(keys.join(sizes.filter("n > 2"), "key").select("key", "node", "n", "rep", "rep2"), "members")
     few = members.filter(F.col("n") <= GROUP).select("key", F.lit(0).alias("sub"), "node", F.col("node").alias("apart"))
     stars = members.filter(F.col("n") > GROUP).select("node", F.explode(F.array("rep", "rep2")).alias("r")).filter("node != r").select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b"))
-    edges = staged(similar(_grouped_pairs(few).unionByName(stars).distinct()), "links")
+    pairs = staged(two.unionByName(_grouped_pairs(few)).unionByName(stars).distinct(), "pairs")
+    drop(sizes)
+    sets = staged(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()), "sets")
+
+    def similar(some: DataFrame) -> DataFrame:
+        one = sets.select(F.col("node").alias("a"), F.col("items").alias("xs"))
+        other = sets.select(F.col("node").alias("b"), F.col("items").alias("ys"))
+        return some.join(one, "a").join(other, "b").filter(jaccard(F.col("xs"), F.col("ys")) >= threshold).select("a", "b")
+
+    edges = staged(similar(pairs), "links")
+    drop(pairs)
     large = members.filter(F.col("n") > GROUP).select("key", "node", "n")
-    for turn in range(MOST_ROUNDS):
+    for turn in range(MOST_ROUNDS if not large.isEmpty() else 0):
         found = roots(edges)
         own = large.join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("apart"))
         mixed = own.groupBy("key").agg(F.min("apart").alias("lo"), F.max("apart").alias("hi")).filter("lo != hi").select("key")
@@ -80,7 +92,8 @@ def linked(items: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataF
         if more.isEmpty():
             break
         edges = edges.unionByName(more)
-    drop(members)
+    edges = staged(edges.distinct(), "links")
+    drop(members, sets)
     return edges
 
 
@@ -88,15 +101,3 @@ def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays without repeats; 0 if both are empty."""
     common = F.size(F.array_intersect(a, b))
     return F.coalesce(F.try_divide(common.cast("double"), F.size(a) + F.size(b) - common), F.lit(0.0))
-
-
-def similar_sets(sets: DataFrame, threshold: float) -> Callable[[DataFrame], DataFrame]:
-    """Exact verification for :func:`linked`: ``sets`` has node and items (array without repeats)."""
-
-    def run(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("node").alias("a"), F.col("items").alias("xs"))
-        other = sets.select(F.col("node").alias("b"), F.col("items").alias("ys"))
-        sized = pairs.join(one, "a").join(other, "b")
-        return sized.filter(jaccard(F.col("xs"), F.col("ys")) >= threshold).select("a", "b")
-
-    return run

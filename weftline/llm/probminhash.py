@@ -12,7 +12,7 @@ their sets of shingles is 0.8 or more; distributed union-find joins links into c
 
 Rows: words are ``[^\\x20\\x09-\\x0D]+``, case counts. A text of one to four words is one shingle. Texts
 with equal word sequences are copies. Null texts and texts without words are alike to nothing and each
-its own class. Rows that repeat an id with the same words are one document of the class.
+its own class. Texts whose rows have no id are linked to copies alone. Rows that repeat an id with the same words are one document of the class.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textvec
-from weftline.llm.components import linked, roots, similar_sets
-from weftline.llm.staging import drop, small_batches, staged
+from weftline.llm.components import BLOOM, linked, roots
+from weftline.llm.staging import setting, small_batches, staged
 
 WORDS = 5
 SIMILAR = 0.8
@@ -106,24 +106,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     sketched = staged(_sketched(df, id_col, text_col), "sketches")
     worded = sketched.filter("h1 is not null")
     nodes = staged(worded.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")).select(F.monotonically_increasing_id().alias("node"), "*"), "texts")
-    made: list[DataFrame] = []
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs, "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        # A text is read from the row of its first id (if that id has several texts, from each; those of other words are sorted out by hash).
-        wanted = nodes.join(ends, "node").select("node", F.col("first").alias("__first"), F.col("h1").alias("__h1"))
-        texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(wanted, F.col("__id").eqNullSafe(F.col("__first")))
-        sets = staged(_keep_own(texts), "sets")
-        made.append(sets)
-        return similar_sets(sets, threshold)(pairs)
-
-    edges = linked(nodes.select("node", "bands"), similar)
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        # A text is read from the row of its first id; where that id has several texts, hashes tell which.
+        wanted = nodes.join(some, "node").select("node", F.col("first").alias("__first"), F.col("h1").alias("__h1"))
+        wanted = staged(wanted, "wanted").filter("node >= 0")
+        with setting(df.sparkSession, **BLOOM):
+            return staged(_keep_own(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(wanted, F.col("__id") == F.col("__first"))), "sets")
+
+    edges = linked(nodes.select("node", "bands"), sets_of, threshold)
     if edges is None:
         found = nodes.select("h1", "h2", F.col("first").alias("class_id"), "copies", F.lit(0).cast("long").alias("links"))
     else:
-        edges = staged(edges.distinct(), "links")
-        drop(*made)
         rooted = nodes.select("node", "h1", "h2", "first", "copies").join(roots(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
         degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
         least = rooted.groupBy("root").agg(F.min("first").alias("class_id"))
@@ -148,7 +142,7 @@ def _keep_own(texts: DataFrame) -> DataFrame:
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR) -> DataFrame:
-    """``df`` without near duplicates: of each class the row with the least id stays (of rows that repeat it, one)."""
-    found = classes(df, id_col, text_col, threshold).filter(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("__id")).distinct()
-    kept = df.join(found, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept
+    """``df`` without near duplicates: of each class the row with the least id stays (of rows that repeat it, one). Rows without an id all stay."""
+    found = classes(df, id_col, text_col, threshold).filter(F.col("id") == F.col("class_id")).select(F.col("id").alias("__id")).distinct()
+    kept = df.join(found, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__key", F.xxhash64(text_col)).dropDuplicates([id_col, "__key"]).drop("__key")
+    return kept.unionByName(df.filter(F.col(id_col).isNull()))
