@@ -1,9 +1,9 @@
 """Linking near duplicates: pairs to compare, found from band keys, and distributed union-find.
 
 No bucket is expanded into all its pairs and none is gathered in one task: buckets of few members are
-compared member by member; of larger ones each member is compared with the bucket's representatives.
-What that leaves apart is compared further, in small groups dealt anew in each round and in each
-bucket, until a round adds no link.
+compared member by member; of larger ones each member is compared with the bucket's least one.
+What that leaves apart is compared further, in small groups dealt anew in each turn and in each bucket
+of some of the bands, until turns add no link.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weftline.llm.staging import drop, staged
 
 GROUP = 10
-MOST_ROUNDS = 5
+WAVES, TURNS, QUIET = 4, 2, 2
 #: Lets Spark skip, by a Bloom filter of at most 8 MB, rows without a partner before they are shuffled.
 BLOOM = {"spark__sql__optimizer__runtime__bloomFilter__enabled": "true", "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0"}
 
@@ -48,8 +48,8 @@ def roots(edges: DataFrame) -> DataFrame:
 
 
 def _grouped_pairs(members: DataFrame) -> DataFrame:
-    """Pairs inside (key, sub) groups of ``members`` (key, sub, node, apart): GROUP members on average; members of one ``apart`` are not paired."""
-    listed = members.groupBy("key", "sub").agg(F.collect_list(F.struct("node", "apart")).alias("ms")).filter(F.size("ms") > 1)
+    """Pairs inside (band, key, sub) groups of ``members`` (band, key, sub, node, apart): GROUP members on average; members of one ``apart`` are not paired."""
+    listed = members.groupBy("band", "key", "sub").agg(F.collect_list(F.struct("node", "apart")).alias("ms")).filter(F.size("ms") > 1)
     left = listed.select("ms", F.explode("ms").alias("x"))
     pairs = left.select("x", F.explode(F.filter("ms", lambda m: (m["node"] > F.col("x.node")) & (m["apart"] != F.col("x.apart")))).alias("y"))
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
@@ -58,19 +58,19 @@ def _grouped_pairs(members: DataFrame) -> DataFrame:
 def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame | None:
     """Edges (a, b) between nodes whose sets have at least ``threshold`` as exact Jaccard similarity, enough for their components; None without candidates.
 
-    ``items``: node (unique long) and bands (array of long keys). ``sets_of`` gets the nodes that share a key with others
+    ``items``: node (unique long) and bands (array of long keys, as many for each). ``sets_of`` gets the nodes that share a key with others
     (node) and gives node and items (array without repeats) for each; it is called once.
     """
-    keys = items.select("node", F.explode(F.array_distinct("bands")).alias("key"))
-    sizes = staged(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("rep"), F.max("node").alias("rep2")).filter("n > 1"), "buckets")
+    keys = items.select("node", F.posexplode("bands").alias("band", "key"))
+    sizes = staged(keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("rep"), F.max("node").alias("last")).filter("n > 1"), "buckets")
     if sizes.isEmpty():
         drop(sizes)
         return None
     # A bucket of two is known from its least and greatest node; only larger ones are looked up again.
-    two = sizes.filter("n = 2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    members = staged(keys.join(sizes.filter("n > 2"), "key").select("key", "node", "n", "rep", "rep2"), "members")
-    few = members.filter(F.col("n") <= GROUP).select("key", F.lit(0).alias("sub"), "node", F.col("node").alias("apart"))
-    stars = members.filter(F.col("n") > GROUP).select("node", F.explode(F.array("rep", "rep2")).alias("r")).filter("node != r").select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b"))
+    two = sizes.filter("n = 2").select(F.col("rep").alias("a"), F.col("last").alias("b"))
+    members = staged(keys.join(sizes.filter("n > 2"), ["band", "key"]).select("band", "key", "node", "n", "rep"), "members")
+    few = members.filter(F.col("n") <= GROUP).select("band", "key", F.lit(0).alias("sub"), "node", F.col("node").alias("apart"))
+    stars = members.filter((F.col("n") > GROUP) & (F.col("node") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("node").alias("b"))
     pairs = staged(two.unionByName(_grouped_pairs(few)).unionByName(stars).distinct(), "pairs")
     drop(sizes)
     sets = staged(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()), "sets")
@@ -82,15 +82,21 @@ def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshol
 
     edges = staged(similar(pairs), "links")
     drop(pairs)
-    large = members.filter(F.col("n") > GROUP).select("key", "node", "n")
-    for turn in range(MOST_ROUNDS if not large.isEmpty() else 0):
+    quiet = 0
+    large = members.filter(F.col("n") > GROUP).select("band", "key", "node", "n")
+    for turn in range(WAVES * TURNS if not large.isEmpty() else 0):
+        # Each turn looks at some bands, and there at buckets whose members are still in different components.
         found = roots(edges)
-        own = large.join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("apart"))
-        mixed = own.groupBy("key").agg(F.min("apart").alias("lo"), F.max("apart").alias("hi")).filter("lo != hi").select("key")
-        dealt = own.join(mixed, "key").withColumn("sub", F.pmod(F.xxhash64(F.lit(turn), "key", "node"), F.greatest(F.lit(1), (F.col("n") / GROUP).cast("long"))))
-        more = staged(similar(_grouped_pairs(dealt.select("key", "sub", "node", "apart")).distinct()), "links")
+        own = large.filter(F.col("band") % WAVES == turn % WAVES).join(found, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("apart"))
+        mixed = own.groupBy("band", "key").agg(F.min("apart").alias("lo"), F.max("apart").alias("hi")).filter("lo != hi").select("band", "key")
+        dealt = own.join(mixed, ["band", "key"]).withColumn("sub", F.pmod(F.xxhash64(F.lit(turn), "key", "node"), F.greatest(F.lit(1), (F.col("n") / GROUP).cast("long"))))
+        more = staged(similar(_grouped_pairs(dealt.select("band", "key", "sub", "node", "apart")).distinct()), "links")
         if more.isEmpty():
-            break
+            quiet += 1
+            if quiet == QUIET:
+                break
+            continue
+        quiet = 0
         edges = edges.unionByName(more)
     edges = staged(edges.distinct(), "links")
     drop(members, sets)
