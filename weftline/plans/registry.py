@@ -1,11 +1,10 @@
-"""All queries of the engine by name, with the SQL that checks each."""
+"""Queries by name, with the SQL that checks each."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,23 +20,3 @@ def query(oracle: str | None = None):
         return f
 
     return put
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-@query(
-    """SELECT r_name AS area, date_trunc('month', o_orderdate) AS window_start, count(*) AS trips,
-              round(sum(l_extendedprice), 2) AS total_revenue, round(avg(l_extendedprice), 2) AS avg_fare
-       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"""
-)
-def gold_area_hourly(spark: SparkSession, folder: str) -> DataFrame:
-    """Revenue mart by area and time bucket."""
-    t = lambda n: table(spark, folder, n)
-    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    joined = joined.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.groupBy(F.col("r_name").alias("area"), F.date_trunc("month", "o_orderdate").alias("window_start")).agg(
-        F.count("*").alias("trips"), F.round(F.sum("l_extendedprice"), 2).alias("total_revenue"), F.round(F.avg("l_extendedprice"), 2).alias("avg_fare")
-    )
