@@ -49,5 +49,6 @@ def difference(df, con: duckdb.DuckDBPyConnection, sql: str) -> str:
         return f"columns {sorted(df.columns)} / {sorted(names)}"
     if got == want:
         return ""
-    a, b = [x for x in got if x not in set(want)][:3], [x for x in want if x not in set(got)][:3]
+    ours, theirs = set(got), set(want)
+    a, b = [x for x in got if x not in theirs][:3], [x for x in want if x not in ours][:3]
     return f"{len(got)} / {len(want)} rows: {a} / {b}"

@@ -46,7 +46,7 @@ def class_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""SELECT conv_id, turn, token, coalesce(prev, '') AS prev_token, coalesce("next", '') AS next_token, prev IS NULL AS "BOS", "next" IS NULL AS "EOS", regexp_matches(token, '[0-9]') AS has_digit, contains(token, '-') AS hyphenated, lower(token) IN ('and', 'or', 'the', 'a', 'an', 'of', 'in') AS is_stop
-  FROM (SELECT conv_id, turn, i, lower(lag(w) OVER p) AS prev, lower(lead(w) OVER p) AS "next", w AS token FROM (SELECT conv_id, turn, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') AS l FROM conversations)) WINDOW p AS (PARTITION BY conv_id, turn ORDER BY i))""")
+  FROM (SELECT conv_id, turn, i, lower(lag(w) OVER p) AS prev, lower(lead(w) OVER p) AS "next", w AS token FROM (SELECT conv_id, turn, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS l FROM conversations)) WINDOW p AS (PARTITION BY conv_id, turn ORDER BY i))""")
 def token_features(spark: SparkSession, folder: str) -> DataFrame:
     """Some of the features of every token; neighbours come from the array, without a shuffle."""
     rows = tagging.exploded(tagging.tokenised(table(spark, folder, "conversations"), "text"), "text", "conv_id", "turn")
@@ -62,7 +62,7 @@ def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     return turns.withColumn("labels", F.transform("tokens", lambda w: F.when(w.contains("."), "END").when(F.length(w) <= 3, "SHORT").otherwise("WORD")))
 
 
-@query("SELECT concat_ws('-', conv_id, turn) AS id, len(l) AS tokens, len(list_filter(l, w -> contains(w, '.'))) AS ends FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') AS l FROM conversations)")
+@query("SELECT concat_ws('-', conv_id, turn) AS id, len(l) AS tokens, len(list_filter(l, lambda w: contains(w, '.'))) AS ends FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS l FROM conversations)")
 def tokens_by_label(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of one label from parallel arrays."""
     rows = tagging.aligned(_labelled(spark, folder), "tokens", "labels")
@@ -84,7 +84,7 @@ def sequence_tagger(spark: SparkSession, folder: str) -> DataFrame:
     return stats.classification_report(pairs, "truth", "predicted")
 
 
-@query("SELECT doc_id, array_to_string(list_concat(l, list_transform(range(greatest(6 - len(l), 0)), x -> 'O'))[1:6], '|') AS padded FROM (SELECT doc_id, string_split(text, ' ')[1:4] AS l FROM documents)")
+@query("SELECT doc_id, array_to_string(list_concat(l, list_transform(range(greatest(6 - len(l), 0)), lambda x: 'O'))[1:6], '|') AS padded FROM (SELECT doc_id, string_split(text, ' ')[1:4] AS l FROM documents)")
 def pad_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Arrays padded to a length."""
     rows = table(spark, folder, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 4).alias("l"))

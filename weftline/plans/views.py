@@ -16,7 +16,7 @@ TRIP = Names(id="trip_id", key="trip_key", pickup="pickup", dropoff="dropoff", p
 
 
 def trips(spark: SparkSession, folder: str) -> DataFrame:
-    """A line item as a trip from the customer's nation to the supplier's. Column pruning leaves out joins' unused columns."""
+    """A line item as a trip from the customer's nation to the supplier's, in kilometres and another currency (so that means seldom lie halfway between two roundings). Column pruning leaves out joins' unused columns."""
     line = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     line = line.join(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     line = line.join(table(spark, folder, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -26,22 +26,22 @@ def trips(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").alias("pickup"),
         F.col("l_shipdate").alias("dropoff"),
         F.expr("nullif(l_linenumber, 7)").cast("int").alias("passengers"),
-        F.col("l_quantity").alias("distance"),
+        (F.col("l_quantity") * 1.609344).alias("distance"),
         F.col("c_nationkey").alias("pu"),
         F.col("s_nationkey").alias("do"),
         F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).when(F.col("l_linestatus") == "O", 9).alias("payment_type"),
-        F.col("l_extendedprice").alias("fare"),
-        F.round(F.col("l_extendedprice") * F.col("l_discount"), 2).alias("tip"),
-        F.round(F.col("l_extendedprice") * (1 + F.col("l_tax")), 2).alias("total"),
-        F.col("l_discount").alias("tip_pct"),
+        (F.col("l_extendedprice") * 0.92137).alias("fare"),
+        (F.col("l_extendedprice") * F.col("l_discount") * 0.84519).alias("tip"),
+        (F.col("l_extendedprice") * (1 + F.col("l_tax")) * 0.92137).alias("total"),
+        (F.col("l_discount") * 0.91732).alias("tip_pct"),
         F.col("o_custkey").alias("customer"),
     )
 
 
 TRIPS_SQL = """(SELECT l_orderkey * 10 + l_linenumber AS trip_id, concat_ws('-', l_orderkey, l_linenumber) AS trip_key, o_orderdate AS pickup, l_shipdate AS dropoff,
-  CAST(nullif(l_linenumber, 7) AS INTEGER) AS passengers, l_quantity AS distance, c_nationkey AS pu, s_nationkey AS "do",
+  CAST(nullif(l_linenumber, 7) AS INTEGER) AS passengers, l_quantity * 1.609344::DOUBLE AS distance, c_nationkey AS pu, s_nationkey AS "do",
   CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 2 WHEN l_linestatus = 'O' THEN 9 END AS payment_type,
-  l_extendedprice AS fare, round(l_extendedprice * l_discount, 2) AS tip, round(l_extendedprice * (1 + l_tax), 2) AS total, l_discount AS tip_pct, o_custkey AS customer
+  l_extendedprice * 0.92137::DOUBLE AS fare, l_extendedprice * l_discount * 0.84519::DOUBLE AS tip, l_extendedprice * (1 + l_tax) * 0.92137::DOUBLE AS total, l_discount * 0.91732::DOUBLE AS tip_pct, o_custkey AS customer
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
