@@ -3,7 +3,7 @@
 No bucket is expanded into all its pairs and none is gathered in one task: buckets of few members are
 compared member by member; of larger ones each member is compared with the bucket's least one.
 What that leaves apart is compared further, in small groups dealt anew in each turn and in each bucket
-of some of the bands, until turns add no link.
+of some of the bands.
 """
 
 from __future__ import annotations
@@ -16,18 +16,17 @@ from pyspark.sql import functions as F
 from weftline.llm.staging import drop, staged
 
 GROUP = 10
-WAVES, TURNS, QUIET = 4, 2, 2
+WAVES = 2
 #: Lets Spark skip, by a Bloom filter of at most 8 MB, rows without a partner before they are shuffled.
 BLOOM = {"spark__sql__optimizer__runtime__bloomFilter__enabled": "true", "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0"}
 
 
 def roots(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b: long): root is the least node of its component.
+    """(node, root) for every node of ``edges`` (a, b: long), staged: root is the least node of its component.
 
-    Alternating large-star and small-star steps, each one aggregate and one join, until nothing changes; every step is written to the shared folder.
+    Alternating large-star and small-star steps, each one aggregate and one join written to the shared folder, until only stars are left.
     """
-    now = staged(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seal = None
+    now = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -38,13 +37,13 @@ def roots(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         now = staged(small.filter("a != b").distinct(), "edges")
         drop(large)
-        # The sum over hashed edges tells a changed set from an unchanged one; decimals cannot overflow here.
-        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if new == seal:
+        # Stars: no node has two edges down, and none that has one is another's root.
+        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("d")), F.struct(F.col("b").alias("x"), F.lit(0).alias("d")))).alias("e"))
+        degree = ends.groupBy("e.x").agg(F.sum("e.d").alias("down"), F.min("e.d").alias("lo"))
+        if degree.filter((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("lo") == 0))).isEmpty():
             break
-        seal = new
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    return staged(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "components")
 
 
 def _grouped_pairs(members: DataFrame) -> DataFrame:
@@ -55,11 +54,11 @@ def _grouped_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame | None:
-    """Edges (a, b) between nodes whose sets have at least ``threshold`` as exact Jaccard similarity, enough for their components; None without candidates.
+def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, likely: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """Links (a, b) between nodes whose sets have at least ``threshold`` as exact Jaccard similarity, enough for their components, and (node, root) of those that have links; None without candidates.
 
-    ``items``: node (unique long) and bands (array of long keys, as many for each). ``sets_of`` gets the nodes that share a key with others
-    (node) and gives node and items (array without repeats) for each; it is called once.
+    ``items``: node (unique long) and bands (array of long keys, as many for each). ``sets_of`` gets nodes (node) and gives
+    node and items (array without repeats) for each. ``likely`` may leave out pairs that signatures show to be far apart.
     """
     keys = items.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = staged(keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("rep"), F.max("node").alias("last")).filter("n > 1"), "buckets")
@@ -71,36 +70,45 @@ def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshol
     members = staged(keys.join(sizes.filter("n > 2"), ["band", "key"]).select("band", "key", "node", "n", "rep"), "members")
     few = members.filter(F.col("n") <= GROUP).select("band", "key", F.lit(0).alias("sub"), "node", F.col("node").alias("apart"))
     stars = members.filter((F.col("n") > GROUP) & (F.col("node") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    pairs = staged(two.unionByName(_grouped_pairs(few)).unionByName(stars).distinct(), "pairs")
-    drop(sizes)
-    sets = staged(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()), "sets")
+    large = members.filter(F.col("n") > GROUP).select("band", "key", "node", "n")
+    nodes_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rough = lambda pairs: staged(likely(pairs) if likely else pairs, "pairs")
 
-    def similar(some: DataFrame) -> DataFrame:
+    def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         one = sets.select(F.col("node").alias("a"), F.col("items").alias("xs"))
         other = sets.select(F.col("node").alias("b"), F.col("items").alias("ys"))
-        return some.join(one, "a").join(other, "b").filter(jaccard(F.col("xs"), F.col("ys")) >= threshold).select("a", "b")
+        met = pairs.join(one, "a").join(other, "b").filter(jaccard(F.col("xs"), F.col("ys")) >= threshold)
+        return staged(met.select("a", "b"), "links")
 
-    edges = staged(similar(pairs), "links")
+    pairs = rough(two.unionByName(_grouped_pairs(few)).unionByName(stars).distinct())
+    drop(sizes)
+    first = nodes_of(pairs)
+    sets = staged(sets_of(first if likely else first.unionByName(large.select("node")).distinct()), "sets")
+    made = [sets]
+    edges = similar(pairs, sets)
     drop(pairs)
-    quiet = 0
-    large = members.filter(F.col("n") > GROUP).select("band", "key", "node", "n")
-    for turn in range(WAVES * TURNS if not large.isEmpty() else 0):
+    found = roots(edges)
+    for turn in range(WAVES if not large.isEmpty() else 0):
         # Each turn looks at some bands, and there at buckets whose members are still in different components.
-        found = roots(edges)
-        own = large.filter(F.col("band") % WAVES == turn % WAVES).join(found, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("apart"))
+        own = large.filter(F.col("band") % WAVES == turn).join(found, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("apart"))
         mixed = own.groupBy("band", "key").agg(F.min("apart").alias("lo"), F.max("apart").alias("hi")).filter("lo != hi").select("band", "key")
         dealt = own.join(mixed, ["band", "key"]).withColumn("sub", F.pmod(F.xxhash64(F.lit(turn), "key", "node"), F.greatest(F.lit(1), (F.col("n") / GROUP).cast("long"))))
-        more = staged(similar(_grouped_pairs(dealt.select("band", "key", "sub", "node", "apart")).distinct()), "links")
-        if more.isEmpty():
-            quiet += 1
-            if quiet == QUIET:
-                break
+        pairs = rough(_grouped_pairs(dealt.select("band", "key", "sub", "node", "apart")).distinct())
+        if pairs.isEmpty():
             continue
-        quiet = 0
-        edges = edges.unionByName(more)
-    edges = staged(edges.distinct(), "links")
-    drop(members, sets)
-    return edges
+        if likely:
+            lacking = nodes_of(pairs).join(sets.select("node"), "node", "left_anti")
+            if not lacking.isEmpty():
+                made.append(staged(sets_of(lacking), "sets"))
+                sets = sets.unionByName(made[-1])
+        more = similar(pairs, sets)
+        drop(pairs)
+        if not more.isEmpty():
+            # The stars so far and the new links have the components of all links.
+            edges = edges.unionByName(more)
+            found = roots(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    drop(members, *made)
+    return edges, found
 
 
 def jaccard(a: Column, b: Column) -> Column:

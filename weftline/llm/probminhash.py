@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textvec
-from weftline.llm.components import BLOOM, linked, roots
+from weftline.llm.components import BLOOM, linked
 from weftline.llm.staging import setting, small_batches, staged
 
 WORDS = 5
@@ -114,11 +114,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
         with setting(df.sparkSession, **BLOOM):
             return staged(_keep_own(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(wanted, F.col("__id") == F.col("__first"))), "sets")
 
-    edges = linked(nodes.select("node", "bands"), sets_of, threshold)
-    if edges is None:
+    links = linked(nodes.select("node", "bands"), sets_of, threshold)
+    if links is None:
         found = nodes.select("h1", "h2", F.col("first").alias("class_id"), "copies", F.lit(0).cast("long").alias("links"))
     else:
-        rooted = nodes.select("node", "h1", "h2", "first", "copies").join(roots(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        edges, components = links
+        rooted = nodes.select("node", "h1", "h2", "first", "copies").join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
         degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
         least = rooted.groupBy("root").agg(F.min("first").alias("class_id"))
         found = rooted.join(least, "root").join(degree, "node", "left").select("h1", "h2", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
