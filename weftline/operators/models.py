@@ -110,10 +110,15 @@ def lasso(m: Moments, alpha: float, sweeps: int = 2000, tolerance: float = 1e-10
 
 
 def inflation(m: Moments) -> dict[str, float]:
-    """Variance inflation factors: the diagonal of the inverse correlation matrix."""
-    d = np.sqrt(np.diag(m.xx))
-    d[d == 0] = 1
-    return dict(zip(m.names, np.diag(np.linalg.pinv(m.xx / np.outer(d, d))), strict=True))
+    """Variance inflation factors, 1 / (1 - R2) of each feature on the others; infinite where they determine it."""
+    out = {}
+    for j, name in enumerate(m.names):
+        rest = [i for i in range(len(m.names)) if i != j]
+        total = m.xx[j, j]
+        explained = m.xx[j, rest] @ np.linalg.lstsq(m.xx[np.ix_(rest, rest)], m.xx[rest, j], rcond=1e-10)[0] if rest else 0.0
+        left = 1 - explained / total if total > 0 else 1.0
+        out[name] = 1 / left if left > 1e-9 else float("inf")
+    return out
 
 
 def without_collinear(df: DataFrame, features: Sequence[str], target: str, limit: float = 10.0) -> list[str]:
