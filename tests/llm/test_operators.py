@@ -1,0 +1,490 @@
+"""The ten operators against brute force, exact round trips and held-out accuracy, on small tables with odd rows."""
+
+import base64
+import collections
+import hashlib
+import json
+import math
+import random
+import re
+import struct
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.llm import bpe, components, langid, lines, mixing, neighbours, pitmanyor, probminhash, rules, textvec, urls, warc
+from weftline.llm.queries import tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [None, "", " \t\n", "a", "a", "Ünïcödé ß é", "one two", "x" * 30_000, "word " * 3000, "\n\nline\n\nline\n", "tail\u00a0nbsp\x1cfs", "<|endoftext|> inside <|endoftext|>"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, folder):
+    return spark.read.parquet(f"{folder}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, "en" if i % 2 else None, None if i == 3 else f"s{i % 2}", 7) for i, t in enumerate(ODD)] + [(None, "no id here", "en", "s0", 7), (4, "a", "en", "s0", 7)], "doc_id long, text string, lang string, source string, n_tokens int")
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.limit(0)
+
+
+def test_words_and_hashes():
+    column = pa.array([None, "ab  cd\u00e9\n", "", "cd\u00e9 ab\x0b\x0c"])
+    data, offsets = textvec.utf8(column)
+    start, end, n = textvec.words(data, offsets)
+    assert [data[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)] == ["ab", "cd\u00e9", "cd\u00e9", "ab"] and list(n) == [0, 2, 0, 2]
+    h = textvec.hashes(data, start, end)
+    assert h[0] == h[3] and h[1] == h[2] and h[0] != h[1]
+    keys = textvec.mix(np.arange(1, 5000, dtype=np.uint64))
+    assert (textvec.Lookup(keys).find(keys) == np.arange(4999)).all() and (textvec.Lookup(keys).find(keys + np.uint64(1)) < 0).all()
+
+
+# --- 1: Pitman-Yor
+
+
+def brute_base(texts, learnt):
+    low = [WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})) + ["</s>"] for t in texts]
+    c = collections.Counter(w for x, ok in zip(low, learnt, strict=True) if ok for w in x)
+    n, v = sum(c.values()), len(c)
+    return [(len(x), sum(w in c for w in x), sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x)) for x in low]
+
+
+@pytest.mark.parametrize("kinds", [0, 500, 2_000_000])
+def test_scores_do_not_depend_on_what_is_broadcast(spark, docs, kinds):
+    rows = docs.select("doc_id", "text").collect()
+    model = pitmanyor.train(docs.filter("doc_id % 5 <> 0"), samples=2)
+    got = {r["doc_id"]: r for r in pitmanyor.score(docs.select("doc_id", "text"), model, kinds=kinds).collect()}
+    full = {r["doc_id"]: r for r in pitmanyor.score(docs.select("doc_id", "text"), model).collect()}
+    for r, (n, known, base) in zip(rows, brute_base([r["text"] for r in rows], [r["doc_id"] % 5 != 0 for r in rows]), strict=True):
+        x = got[r["doc_id"]]
+        assert (x["n_tokens"], x["n_known"]) == (n, known) and math.isclose(x["base_score"], base, rel_tol=1e-9)
+        assert math.isclose(x["score"], full[r["doc_id"]]["score"], rel_tol=1e-9)
+    held = pitmanyor.score(docs.filter("doc_id % 5 = 0").select("doc_id", "text"), model)
+    assert pitmanyor.perplexity(held) < pitmanyor.perplexity(held, "base_score")
+
+
+def test_probabilities_sum_to_one(spark):
+    model = pitmanyor.train(spark.createDataFrame([("a b a b c a",), ("b a c",)], "text string"), samples=2)
+    words = ["a", "b", "c", ""]
+    texts = spark.createDataFrame([(f"a {w}".strip(), w) for w in words] + [("a zz", "?"), ("a", "-")], "text string, w string")
+    # log P(a, w, end) for all w; what follows "a": each word or the end.
+    first = {r["w"]: r["score"] for r in pitmanyor.score(texts, model).collect()}
+    counts = {w: r for w, r in first.items()}
+    assert all(v < 0 for v in counts.values())
+    state = model.words.collect()
+    ctx = {r["w"]: np.frombuffer(bytes(r["ctx"]), np.int16) for r in state}
+    total = 0.0
+    of_context = 1 + list(model.frequent).index(textvec.hashes(np.frombuffer(b"a", np.uint8), np.array([0]), np.array([1]))[0] & pitmanyor.MASK)
+    for r in state:
+        p = np.frombuffer(bytes(r["p"]), np.float64) / len(model.unknown)
+        hit = ctx[r["w"]] == of_context
+        total += p[hit][0] if hit.any() else (model.backoffs[:, of_context] * np.frombuffer(bytes(r["roots"]), np.float64)).mean()
+    total += (model.backoffs[:, of_context] * model.unknown).mean()
+    assert math.isclose(total, 1.0, rel_tol=1e-9)
+
+
+def test_scores_of_odd_rows(odd, empty):
+    assert pitmanyor.score(odd, pitmanyor.train(odd)).count() == odd.count()
+    assert [r["score"] for r in pitmanyor.score(odd, pitmanyor.train(empty)).collect()] == [0.0] * odd.count()
+    assert pitmanyor.score(empty, pitmanyor.train(odd)).count() == 0
+
+
+# --- 2: ProbMinHash, and union-find
+
+
+def shingle_sets(texts):
+    words = [WORD.findall(t or "") for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def brute_classes(ids, sets):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(ids[a]), find(ids[b])
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_near_duplicates(docs):
+    rows = docs.select("doc_id", "text").collect()
+    want = brute_classes([r["doc_id"] for r in rows], shingle_sets([r["text"] for r in rows]))
+    assert {r["id"]: r["class_id"] for r in probminhash.classes(docs).collect()} == want
+    assert {r["doc_id"] for r in probminhash.keep_one(docs).collect()} == set(want.values())
+
+
+@pytest.mark.parametrize(("edits", "with_base", "apart"), [(2, True, 0), (1, False, 0), (2, False, 20)])
+def test_a_large_group_of_near_copies(spark, edits, with_base, apart):
+    """Copies of one text; without it and with two edits most pairs of copies are too far apart, and few links hold the group together."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(-1, " ".join(base))] if with_base else []
+    for i in range(300):
+        words = list(base)
+        for _ in range(edits):
+            words[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes([i for i, _ in rows], shingle_sets([t for _, t in rows]))
+    got = {r["id"]: r["class_id"] for r in probminhash.classes(df).collect()}
+    assert sum(got[i] != want[i] for i in got) <= apart
+
+
+def test_registers_estimate_weighted_jaccard():
+    item = np.arange(1, 61, dtype=np.uint64)
+    of = np.repeat([0, 1], 40)
+    both = np.concatenate([item[:40], item[20:60]])
+    weight = np.concatenate([np.ones(40), np.r_[np.full(20, 3.0), np.ones(20)]])
+    m = 4000
+    won = probminhash.registers(of, textvec.mix(both), weight, 2, m)
+    p, q = {i: 1.0 for i in range(40)}, {i: (3.0 if i < 40 else 1.0) for i in range(20, 60)}
+    want = sum(1 / sum(max(p.get(y, 0) / p[x], q.get(y, 0) / q[x]) for y in range(60)) for x in range(60) if p.get(x, 0) and q.get(x, 0))
+    assert abs((won[0] == won[1]).mean() - want) < 0.04
+
+
+def test_near_duplicates_of_odd_rows(odd, empty):
+    got = probminhash.classes(odd).collect()
+    assert len(got) == odd.count()
+    by_id = collections.defaultdict(set)
+    for r in got:
+        by_id[r["id"]].add(r["class_id"])
+    assert by_id[3] == by_id[4] == {3} and by_id[0] == {0} and by_id[1] == {1}
+    kept = [r["doc_id"] for r in probminhash.keep_one(odd).collect()]
+    assert 4 not in kept and kept.count(3) == 1 and None in kept and {0, 1, 2} <= set(kept)
+    assert probminhash.classes(empty).count() == 0 and probminhash.keep_one(empty).count() == 0
+
+
+def test_union_find(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (101, 102), (7, 7)]
+    random.Random(1).shuffle(chain)
+    got = {r["node"]: r["root"] for r in components.roots(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
+    assert components.roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- 3: URLs
+
+RULES = [urls.Rule("allow", "org/"), urls.Rule("block", "example.org/es/"), urls.Rule("allow", "com/fr/")]
+
+
+def test_hosts_and_rules(spark):
+    cases = {None: ("", ""), "": ("", ""), "no scheme/x": ("", ""), "http://A.Example.ORG/es/1?q#f": ("a.example.org", "/es/1"), "x://h?q/r": ("h", ""), "x://u:1@h:8#/p": ("u:1@h:8", ""), "a://b://c/d": ("b:", "//c/d"), "http://É.org/\nx": ("É.org", "/\nx")}
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    got = {r["url"]: (r["h"], r["p"]) for r in df.select("url", urls.host(F.col("url")).alias("h"), urls.path(F.col("url")).alias("p")).collect()}
+    assert got == cases
+    df = spark.createDataFrame([("example.org", "/es/1", "example.org/es/"), ("a.example.org", "/en", "org/"), ("borg", "/x", None), ("org", "", None), ("a.com", "/fr/", "com/fr/")], "h string, p string, want string")
+    assert df.filter(~urls.longest_rule(RULES, F.col("h"), F.col("p")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_ratio_model_is_a_markov_model(spark):
+    good, bad = ["aab", "aac", "aab"], ["xyx", "xyz"]
+    rows = spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "u string, __good boolean").select(urls.spelled(F.col("u")).alias("__s"), "__good")
+    model = urls.ratio_model(rows, contexts=50, least=1)
+    df = spark.createDataFrame([("aab",), ("xyz",)], "u string").select("u", urls.spelled(F.col("u")).alias("__s")).withColumn("__n", (F.length("__s") - 1).cast("double"))
+    got = {r["u"]: r["score"] for r in urls.scores(df, model, "u").collect()}
+
+    def p(text, texts):
+        def of(ctx, ch, order):
+            grams = collections.Counter(t[i - len(ctx) : i + 1] for t in texts for i in range(max(1, len(ctx)), len(t)))
+            if order == 0:
+                return (grams[ch] + 0.5) / (sum(grams.values()) + 0.5 * len(urls.ALPHABET))
+            below = of(ctx[1:], ch, order - 1)
+            here = {g: n for g, n in grams.items() if g[:-1] == ctx}
+            return (here.get(ctx + ch, 0) + len(here) * below) / (sum(here.values()) + len(here)) if here else below
+
+        return sum(math.log(of(text[max(0, i - urls.ORDER) : i], text[i], min(i, urls.ORDER))) for i in range(1, len(text))) / (len(text) - 1)
+
+    a, b = ([f"^{u}$" for u in x] for x in (good, bad))
+    for u in got:
+        assert math.isclose(got[u], p(f"^{u}$", a) - p(f"^{u}$", b), abs_tol=1e-9)
+
+
+def test_verdicts(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    got = urls.judge(pages, RULES)
+    assert got.count() == pages.count() and got.filter("__verdict not in ('allow', 'block') or __verdict is null").count() == 0
+    assert got.filter("__rule = 'org/' and __verdict <> 'allow'").count() == 0
+    odd = spark.createDataFrame([(1, None), (1, None), (2, ""), (3, "é" * 5000)], "page_id long, url string")
+    assert urls.judge(odd, RULES).count() == 4 and urls.judge(odd.limit(0), RULES).count() == 0
+    assert {r["__verdict"] for r in urls.judge(odd, []).collect()} == {"allow"}
+
+
+# --- 4: lines
+
+
+def brute_lines(rows):
+    """(id, kept text) by exact Jaccard of character 5-grams, the first line of each component kept."""
+    first = {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        for p, line in enumerate((t or "").split("\n")):
+            if WORD.search(line):
+                first.setdefault(line, (i, p))
+    all_lines = list(first)
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} if len(x) >= 5 else {x} for x in all_lines]
+    found = brute_classes(list(range(len(all_lines))), sets)
+    keep = {min(first[all_lines[j]] for j in found if found[j] == root) for root in set(found.values())}
+    out = {}
+    for i, t in rows:
+        parts = (t or "").split("\n")
+        stay = [(i, p) in keep for p, x in enumerate(parts) if WORD.search(x)]
+        out[i] = t if all(stay) else "" if not any(stay) else "\n".join(x for p, x in enumerate(parts) if not WORD.search(x) or (i, p) in keep)
+    return out
+
+
+def test_lines(docs):
+    some = docs.filter("doc_id < 60")
+    want = brute_lines([tuple(r) for r in some.select("doc_id", "text").collect()])
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(some).collect()}
+    assert sum(got[i] != want[i] for i in want) <= 1
+
+
+def test_lines_of_odd_rows(spark, odd, empty):
+    got = lines.dedup(odd)
+    assert got.count() == odd.count() and got.columns[: len(odd.columns)] == odd.columns
+    by_id = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert by_id[0] is None and by_id[1] == "" and by_id[3] == "a" and by_id[9] == "\n\nline\n\n"
+    assert lines.dedup(empty).count() == 0
+    rows = [(1, "the quick brown fox jumps over the lazy dog today\nunique one here"), (2, "the quick brown fox jumps over the lazy dog todays"), (3, "something else entirely that is different")]
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {1: rows[0][1], 2: "", 3: rows[2][1]}
+
+
+# --- 5: BPE
+
+
+def test_bpe_is_the_library(odd, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    for df in (odd, docs.limit(60)):
+        for r in bpe.decode(bpe.encode(df, tokenizer_path()), tokenizer_path()).collect():
+            ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+            assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids) and r["n_tokens"] == len(ids)
+            assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_on_random_strings():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(tokenizer_path()), bpe.Vocabulary(tokenizer_path())
+    rng = random.Random(3)
+    pieces = ["a", "b", "the", " ", "  ", "\n", "é", "中", "1", "23", "\x85", "!!", "'s", "ing", "\r\n", "\x1c", "<|endoftext|>", "tion", "aaaa", "\u2003"]
+    for _ in range(1500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_bpe_of_nothing(empty):
+    assert bpe.encode(empty, tokenizer_path()).count() == 0
+
+
+# --- 6: WARC
+
+
+def test_archives(spark):
+    rows = [(i, f"http://h/{i}", f"<p>page {i % 7} " + "body " * (i % 5)) for i in range(60)] + [(100, None, None), (101, "u", ""), (101, "u", ""), (None, "u", "only")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.round_trip(df).collect()
+    last = {}
+    for i, _, h in rows:
+        last[h or ""] = max(last.get(h or "", -1), -1 if i is None else i)
+    assert len(got) == len(rows)
+    by_key = collections.Counter((r["key"], r["record_type"], r["payload_digest"], r["payload_bytes"], r["refers_to"]) for r in got)
+    want = collections.Counter()
+    for i, _, h in rows:
+        data = (h or "").encode()
+        end = last[h or ""]
+        first = i == end or (i is None)
+        want[(None if i is None else str(i), "response" if first else "revisit", base64.b32encode(hashlib.sha1(data).digest()).decode(), len(data), None if first else str(end))] += 1
+    assert by_key == want
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_records_stand_alone():
+    import zstandard
+
+    records = [warc.record("response", str(i), "http://x", f"<html>{i} common boilerplate text {i * i}</html>".encode() * 5, "D", None) for i in range(400)]
+    data = warc.archive(records)
+    assert list(warc.opened(data)) == records
+    magic, size = struct.unpack("<II", data[:8])
+    assert magic == 0x184D2A5D and size > 0
+    plain = sum(len(zstandard.ZstdCompressor(level=3).compress(r)) for r in records)
+    assert len(data) - 8 - size < 0.8 * plain
+    small = warc.record("response", "1", "http://x", b"", "D", None)
+    assert list(warc.opened(warc.archive([small]))) == [small]
+
+
+# --- 7: quality
+
+
+def brute_statistics(text):
+    w = WORD.findall(text or "")
+    grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {j for i in range(len(w) - 2) if grams[w[i], w[i + 1], w[i + 2]] > 1 for j in (i, i + 1, i + 2)}
+    parts = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(parts) - len(set(parts)), len(covered)
+
+
+def test_statistics(odd, docs, empty):
+    for df in (odd, docs):
+        texts = [r["text"] for r in df.select("text").collect()]
+        got = rules.statistics(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert tuple(int(got[k][i]) for k in rules.STATISTICS[:5]) == brute_statistics(t)
+    assert rules.with_statistics(empty).count() == 0 and rules.with_statistics(odd).count() == odd.count()
+
+
+def test_decision_list():
+    rng = np.random.default_rng(2)
+    x = rng.random((600, 2))
+    bad = ((x[:, 0] > 0.8) & (x[:, 1] > 0.3)) | (x[:, 1] > 0.95)
+    found = rules.learn(x, bad, ["a", "b"])
+    called = np.zeros(600, bool)
+    for r in found:
+        called |= rules._covers(r, x, ["a", "b"])
+    assert found and (called == bad).mean() > 0.95
+    assert rules.learn(x, np.zeros(600, bool), ["a", "b"]) == []
+
+
+def test_rules_on_labels(spark, folder, docs):
+    stats = rules.with_statistics(docs.select("doc_id", "text"))
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    joined = stats.join(labels, "doc_id").cache()
+    learnt = rules.fit(joined, F.col("quality") == 0, F.col("doc_id"))
+    kept = joined.withColumn("kept", rules.verdict(learnt).isNull())
+    assert kept.filter("quality = 1 and not kept").count() <= 0.03 * kept.filter("quality = 1").count()
+    assert rules.fit(joined.limit(0), F.col("quality") == 0, F.col("doc_id")) == []
+
+
+# --- 8: languages
+
+
+def test_languages(docs, odd, empty):
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    model = langid.train(docs.filter(~held), key=F.col("doc_id"))
+    got = langid.identify(docs.filter(held), model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+    assert all(0 <= r["lang_score"] <= 1 for r in got)
+    odd_rows = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, model).collect()}
+    assert odd_rows[0] == odd_rows[1] == odd_rows[2] == "und" and odd_rows[6] != "und"
+    assert langid.identify(empty, model).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(odd, langid.train(empty)).collect()} == {"und"}
+
+
+def test_filters_hold_what_they_learnt():
+    rng = np.random.default_rng(1)
+    sets = {f"l{i:02}": rng.integers(1, 2**63, 2000).astype(np.uint64) for i in range(70)}
+    model = langid.Model.build(sets)
+    for i, name in enumerate(model.languages):
+        masks = model.languages_of(sets[name])
+        assert ((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).all()
+    fresh = model.languages_of(rng.integers(1, 2**63, 20000).astype(np.uint64))
+    assert abs(((fresh[:, 0] & np.uint64(1)) == 1).mean() - model.false_rate[0]) < 0.001
+
+
+# --- 9: neighbours
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 16))
+    x[10:40] = x[5]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [(1000, None), (1050, [0.0] * 16), (1100, [float("nan")] * 16), (1150, [1.0] * 3), (None, rows[0][1]), (7, rows[7][1]), (1200, [None] * 16), (1250, [float("inf")] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 600, 50))
+    right = 0
+    for q, found in got.items():
+        cos = neighbours.cosine(np.broadcast_to(x[q], x.shape), x)
+        want = sorted((i for i in range(600) if i != q), key=lambda i: (-cos[i], i))[:5]
+        right += len({i for i, _ in found} & set(want))
+        assert len(found) == 5 and all(math.isclose(s, cos[i], rel_tol=1e-15) for i, s in found) and found == sorted(found, key=lambda f: (-f[1], f[0]))
+    assert right >= 0.9 * 5 * len(got)
+    assert neighbours.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    few = spark.createDataFrame(rows[:3], df.schema)
+    assert neighbours.search(few, F.col("vec_id") == 0).count() == 2
+
+
+def test_copies_and_ties(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    got = neighbours.search(same, F.col("vec_id") % 50 == 0).filter("query_id = 50").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [0, 1, 2, 3, 4]
+
+
+# --- 10: mixing
+
+
+def test_targets():
+    got = mixing.targets({"a": 10, "b": 1000, None: 1000})
+    assert got["a"] == 30 and math.isclose(got["b"], 1980 * 2 / 3) and math.isclose(sum(got.values()), 2010)
+    assert mixing.targets({}) == {} and mixing.targets({"x": 0}) == {"x": 0}
+
+
+def test_quotas_are_exact():
+    out = mixing.split_quotas(np.array([1000, 10, 333]), 7, 1)
+    assert (out.sum(axis=1) == [1000, 10, 333]).all() and out.sum(axis=0).max() - out.sum(axis=0).min() <= 1
+    assert (out == mixing.split_quotas(np.array([1000, 10, 333]), 7, 1)).all()
+
+
+def test_mix(docs, odd, empty):
+    mixed = mixing.mix(docs, shards=8)
+    rows = mixed.select("doc_id", "source", "text", "mix_size", "mix_source_size", "mix_target", "mix_shards").collect()
+    assert sorted((r["doc_id"], r["mix_shards"]) for r in rows) == sorted((r["doc_id"], r["mix_shards"]) for r in mixing.mix(docs.repartition(3), shards=8).collect())
+    taken, sizes = collections.Counter(), collections.Counter()
+    for r in rows:
+        assert r["mix_size"] == len(WORD.findall(r["text"] or "")) and len(r["mix_shards"]) <= 3
+        taken[r["source"]] += r["mix_size"] * len(r["mix_shards"])
+        sizes[r["source"]] += r["mix_size"]
+    want = mixing.targets(dict(sizes))
+    for r in rows:
+        assert r["mix_source_size"] == sizes[r["source"]] and math.isclose(r["mix_target"], want[r["source"]])
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= max(0.1 * t, max(r["mix_size"] for r in rows if r["source"] == s) / 2)
+    copies = mixing.shards(mixed).collect()
+    assert len(copies) == sum(len(r["mix_shards"]) for r in rows) and {r["mix_shard"] for r in copies} <= set(range(8))
+    assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0 and mixing.shards(mixing.mix(empty)).count() == 0
+
+
+# --- all of them
+
+
+def test_pipeline_stages(spark, docs, folder):
+    import corpus_pipeline
+
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, now, folder).cache()
+        if name != "encode":
+            assert after.columns == docs.columns
+        if name == "near_dedup":
+            want = brute_classes([r["doc_id"] for r in now.collect()], shingle_sets([r["text"] for r in now.collect()]))
+            assert {r["doc_id"] for r in after.collect()} == set(want.values())
+        now = after
+    assert now.filter("not round_trip").count() == 0 and now.count() > 0
+    assert json.dumps(sorted(now.columns))
+
+
+def test_queries_run(spark, folder):
+    import __spark_entry__ as entry
+
+    names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
