@@ -10,9 +10,16 @@ from weftline.plans.registry import query
 from weftline.plans.views import sql, table, trips, zones
 from weftline.sources import readers
 
-HOURLY = marts.borough_hourly("pickup", "total", "fare", "distance", "tip_pct", "month")
-FLOWS = marts.zone_flows("fare", "distance")
-PAYMENTS = marts.payment_daily("pickup", "total")
+
+
+def hourly() -> marts.Mart:
+    return marts.borough_hourly("pickup", "total", "fare", "distance", "tip_pct", "month")
+
+
+def flows() -> marts.Mart:
+    return marts.zone_flows("fare", "distance")
+
+
 _HOURLY_SQL = sql("""SELECT borough AS pickup_borough, date_trunc('month', pickup) AS window_start, count(*) AS trips, round(sum(total), 2) AS total_revenue,
   round(avg(fare), 2) AS avg_fare, round(avg(distance), 2) AS avg_distance, round(avg(tip_pct), 4) AS avg_tip_pct FROM trips JOIN zones ON pu = location_id GROUP BY ALL""")
 
@@ -24,28 +31,29 @@ def _placed(spark: SparkSession, folder: str) -> DataFrame:
 @query(_HOURLY_SQL)
 def gold_area_hourly(spark: SparkSession, folder: str) -> DataFrame:
     """Revenue and means by area and time bucket."""
-    return HOURLY.of(_placed(spark, folder))
+    return hourly().of(_placed(spark, folder))
 
 
 @query(_HOURLY_SQL)
 def gold_area_hourly_merged(spark: SparkSession, folder: str) -> DataFrame:
     """The same from three batches' partial sums."""
     rows = _placed(spark, folder)
-    return HOURLY.finished(HOURLY.merged(*[HOURLY.partial(rows.filter(F.col("trip_id") % 3 == i)) for i in range(3)]))
+    mart = hourly()
+    return mart.finished(mart.merged(*[mart.partial(rows.filter(F.col("trip_id") % 3 == i)) for i in range(3)]))
 
 
 @query(sql("""SELECT a.zone AS pickup_zone, b.zone AS dropoff_zone, count(*) AS trips, round(avg(fare), 2) AS avg_fare, round(avg(distance), 2) AS avg_distance
   FROM trips JOIN zones a ON pu = a.location_id JOIN zones b ON "do" = b.location_id GROUP BY ALL"""))
 def gold_zone_flows(spark: SparkSession, folder: str) -> DataFrame:
     """Trips and means between zones."""
-    return FLOWS.of(_placed(spark, folder))
+    return flows().of(_placed(spark, folder))
 
 
 @query(sql("""SELECT CAST(pickup AS DATE) AS trip_date, payment_type, CASE payment_type WHEN 1 THEN 'Credit card' WHEN 2 THEN 'Cash' ELSE 'Unknown' END AS payment_label, count(*) AS trips, round(sum(total), 2) AS total_revenue
   FROM trips WHERE payment_type IS NOT NULL GROUP BY ALL"""))
 def gold_payment_daily(spark: SparkSession, folder: str) -> DataFrame:
     """Trips and revenue by day and payment type."""
-    return PAYMENTS.of(trips(spark, folder))
+    return marts.payment_daily("pickup", "total").of(trips(spark, folder))
 
 
 @query(sql("SELECT zone, borough, count(*) AS trips, round(avg(total), 2) AS avg_total FROM trips LEFT JOIN zones ON pu = location_id GROUP BY ALL"))
