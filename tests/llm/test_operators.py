@@ -488,3 +488,12 @@ def test_queries_run(spark, folder):
 
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", ["op6_warc"])
+def test_query_against_sql(spark, folder, name):
+    import oracle
+
+    from weftline.llm import queries
+
+    assert oracle.difference(queries.QUERIES[name](spark, folder), oracle.connection(folder), queries.ORACLES[name]) == ""
