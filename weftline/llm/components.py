@@ -1,7 +1,7 @@
 """Linking near duplicates: pairs to compare, found from band keys, and distributed union-find.
 
 No bucket is expanded into all its pairs and none is gathered in one task: buckets of few members are
-compared member by member; of larger ones each member is compared with the bucket's least one.
+compared member by member; of larger ones each member is compared with the bucket's hub.
 What that leaves apart is compared further, in small groups dealt anew in each turn and in each bucket
 of some of the bands.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.staging import drop, staged
 
-GROUP = 10
+GROUP = 16
 WAVES = 2
 #: Lets Spark skip, by a Bloom filter of at most 8 MB, rows without a partner before they are shuffled.
 BLOOM = {"spark__sql__optimizer__runtime__bloomFilter__enabled": "true", "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0"}
@@ -67,10 +67,13 @@ def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshol
         return None
     # A bucket of two is known from its least and greatest node; only larger ones are looked up again.
     two = sizes.filter("n = 2").select(F.col("rep").alias("a"), F.col("last").alias("b"))
-    members = staged(keys.join(sizes.filter("n > 2"), ["band", "key"]).select("band", "key", "node", "n", "rep"), "members")
+    members = staged(keys.join(sizes.filter("n > 2"), ["band", "key"]).select("band", "key", "node", "n"), "members")
     few = members.filter(F.col("n") <= GROUP).select("band", "key", F.lit(0).alias("sub"), "node", F.col("node").alias("apart"))
-    stars = members.filter((F.col("n") > GROUP) & (F.col("node") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("node").alias("b"))
     large = members.filter(F.col("n") > GROUP).select("band", "key", "node", "n")
+    # A large bucket's hub is the member that meets most others in all its large buckets: what copies were made from, rather than one of them.
+    met = large.groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = large.join(met, "node").groupBy("band", "key").agg(F.max(F.struct("met", "node")).alias("hub")).select("band", "key", F.col("hub.node").alias("hub"))
+    stars = large.join(hubs, ["band", "key"]).filter("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     nodes_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     rough = lambda pairs: staged(likely(pairs) if likely else pairs, "pairs")
 
