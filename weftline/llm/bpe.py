@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weftline.llm.staging import small_batches
+from weftline.llm.staging import small_batches, tidy
 
 #: The split pattern of byte-level BPE vocabularies, white space as Unicode lists it.
 _SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-CACHE_ENTRIES = 400_000
+#: What a process keeps of cuts and of pairs, each; full caches begin anew.
+CACHE_ENTRIES = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -95,7 +96,7 @@ class Vocabulary:
                 before, left = left, split[left][1]
             else:
                 before, right = right + 1, split[right][0]
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > CACHE_ENTRIES:
             self.fits.clear()
         self.fits[key] = fits
         return fits
@@ -170,6 +171,13 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
+def _forget() -> None:
+    """Caches end with their task; the tables stay."""
+    for own in _loaded.values():
+        own.known.clear()
+        own.fits.clear()
+
+
 def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     kept = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n not in columns}
     return pa.RecordBatch.from_pydict(kept | columns)
@@ -193,7 +201,7 @@ def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col:
             yield _with(batch, **{ids_col: pa.array(packed, pa.binary()), count_col: pa.array([len(p) // 4 for p in packed], pa.int64())})
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, _schema(df, T.StructField(ids_col, T.BinaryType()), T.StructField(count_col, T.LongType())))
+    return df.mapInArrow(tidy(run, _forget), _schema(df, T.StructField(ids_col, T.BinaryType()), T.StructField(count_col, T.LongType())))
 
 
 def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -205,4 +213,4 @@ def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", decoded_co
             yield _with(batch, **{decoded_col: pa.array([own.decode(p or b"") for p in batch.column(ids_col).to_pylist()], pa.string())})
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, _schema(df, T.StructField(decoded_col, T.StringType())))
+    return df.mapInArrow(tidy(run, _forget), _schema(df, T.StructField(decoded_col, T.StringType())))

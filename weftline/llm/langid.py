@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import textvec
-from weftline.llm.staging import small_batches
+from weftline.llm.staging import drop, small_batches, staged, tidy
 
 ORDERS = (3, 5)
 SLOTS = 1 << 20
@@ -144,16 +144,18 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Co
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     small_batches(spark)
-    grams = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = F.broadcast(grams.groupBy("lang").agg(F.sum("n").alias("total")))  # a row for each language
     shares = grams.join(totals, "lang").select("gram", F.struct("lang", (F.col("n") / F.col("total")).alias("share"), "n").alias("x"))
     # At most one entry for each language in a group.
     by_gram = shares.groupBy("gram").agg(F.collect_list("x").alias("xs"), F.max("x.share").alias("top"))
     kept = by_gram.select("gram", "top", F.explode("xs").alias("x")).filter((F.col("x.share") >= relative * F.col("top")) & (F.col("x.n") >= 2))
+    kept = staged(kept.select("gram", "x"), "grams")
     out = {}
     for lang in counts:
         best = kept.filter(F.col("x.lang") == lang).orderBy(F.col("x.share").desc(), "gram").limit(grams_per_language)
         out[lang] = np.array([r[0] for r in best.select("gram").collect()], np.int64).view(np.uint64)
+    drop(kept)
     return Model.build(out)
 
 
@@ -172,4 +174,4 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", lang_col: str
 
     small_batches(spark)
     fields = [f for f in df.schema.fields if f.name not in (lang_col, score_col)]
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import textvec
 from weftline.llm.components import BLOOM, linked
-from weftline.llm.staging import setting, small_batches, staged
+from weftline.llm.staging import setting, small_batches, staged, tidy
 
 WORDS = 5
 SIMILAR = 0.8
@@ -98,7 +98,7 @@ def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, h1 long, h2 long, n_shingles long, bands array<long>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, h1 long, h2 long, n_shingles long, bands array<long>")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR) -> DataFrame:
@@ -139,7 +139,7 @@ def _keep_own(texts: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=piece.num_rows))]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"node": piece.column("node"), "items": pa.ListArray.from_arrays(pa.array(ends), pa.array(gram.view(np.int64)))}).filter(pa.array(own))
 
-    return texts.select("node", "__h1", "text").mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
+    return texts.select("node", "__h1", "text").mapInArrow(tidy(run), "node long, items array<long>").dropDuplicates(["node"])
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import textvec
-from weftline.llm.staging import small_batches
+from weftline.llm.staging import small_batches, tidy
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_stops")
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -95,7 +95,7 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     small_batches(df.sparkSession)
     fields = [f for f in df.schema.fields if f.name != text_col and f.name not in STATISTICS]
-    return df.mapInArrow(run, T.StructType([*fields, *(T.StructField(k, T.LongType()) for k in STATISTICS)]))
+    return df.mapInArrow(tidy(run), T.StructType([*fields, *(T.StructField(k, T.LongType()) for k in STATISTICS)]))
 
 
 def features() -> dict[str, Column]:

@@ -45,7 +45,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 250_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``limit`` text bytes, one row at least: bounds what one step holds."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -92,3 +92,33 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_CODES[data] * _power("up", n)[:n], out=total[1:])
     return mix((total[end] - total[start]) * _power("down", n + 1)[start] + (end - start).astype(np.uint64))
+
+
+class Lookup:
+    """Places of 64-bit keys (not 0) by open addressing: a few reads for each key, all keys at once."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.size = 1 << max(4, int(len(keys) * 3 // 2).bit_length())
+        self.keys, self.places = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            at, first = np.unique(slot[free], return_index=True)
+            self.keys[at], self.places[at] = keys[free[first]], free[first]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & (self.size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) & np.uint64(self.size - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if it is not there."""
+        out = np.full(len(keys), -1, np.int64)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            met = self.keys[slot[left]]
+            hit = met == keys[left]
+            out[left[hit]] = self.places[slot[left[hit]]]
+            left = left[~hit & (met != 0)]
+            slot[left] = (slot[left] + 1) & (self.size - 1)
+        return out
