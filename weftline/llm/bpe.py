@@ -71,11 +71,6 @@ class Vocabulary:
         self.findall = regex.compile(PATTERN).findall
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
-        by_id = {v: k for k, v in ids.items()} | {v: k.encode() for k, v in self.special.items()}
-        rows = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.offsets = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(rows), np.uint8)
 
     def side_by_side(self, left: int, right: int) -> bool:
         """Whether merging by rank can leave these two tokens next to each other."""
@@ -149,6 +144,20 @@ class Vocabulary:
             return self._ordinary(text)
         return b"".join(self.special[p].to_bytes(4, "little") if i % 2 else self._ordinary(p) for i, p in enumerate(self.special_at.split(text)))
 
+
+class Offsets:
+    """What decoding needs: all tokens' bytes in a row, and where each begins. A few MB, beside an encoder's tables."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        letters = byte_letters()
+        by_id = {v: bytes(letters[c] for c in k) for k, v in file["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in file.get("added_tokens", [])}
+        rows = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        self.lengths = np.array([len(r) for r in rows], np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(rows), np.uint8)
+
     def decode(self, packed: bytes, block: int = 1 << 18) -> str:
         """The text of packed ids; bytes that are no UTF-8 become U+FFFD. Unknown ids give nothing."""
         ids = np.frombuffer(packed, "<u4")
@@ -162,6 +171,7 @@ class Vocabulary:
 
 
 _loaded: dict[str, Vocabulary] = {}
+_offsets: dict[str, Offsets] = {}
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -171,6 +181,12 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
+def offsets(path: str) -> Offsets:
+    if path not in _offsets:
+        _offsets[path] = Offsets(path)
+    return _offsets[path]
+
+
 def _forget() -> None:
     """Caches end with their task; the tables stay."""
     for own in _loaded.values():
@@ -208,9 +224,9 @@ def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", decoded_co
     """``df`` with ``decoded_col``, the text of ``ids_col``; null ids give the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(vocabulary_path)
+        own = offsets(vocabulary_path)
         for batch in batches:
             yield _with(batch, **{decoded_col: pa.array([own.decode(p or b"") for p in batch.column(ids_col).to_pylist()], pa.string())})
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(tidy(run, _forget), _schema(df, T.StructField(decoded_col, T.StringType())))
+    return df.mapInArrow(tidy(run), _schema(df, T.StructField(decoded_col, T.StringType())))
