@@ -264,6 +264,25 @@ def test_lines_of_odd_rows(spark, odd, empty):
     assert kept == {1: rows[0][1], 2: "", 3: rows[2][1]}
 
 
+def candidates(spark, pairs):
+    """Which of the pairs of lines share a band."""
+    df = spark.createDataFrame([(2 * i + j, x) for i, pair in enumerate(pairs) for j, x in enumerate(pair)], "doc_id long, text string")
+    signed = lines.signed(lines.cut(df, "doc_id", "text")).select(F.floor(F.col("__keeper.__id") / 2).alias("i"), F.explode(lines._bands()).alias("key"))
+    return {r["i"] for r in signed.groupBy("i", "key").count().filter("count > 1").select("i").distinct().collect()}
+
+
+def test_lines_without_spaces(spark):
+    """Near copies that differ where a line begins, in lines that are one word."""
+    rng = random.Random(6)
+    new = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    pairs = [(x, x[:at] + "z" + x[at + 1 :]) for n in (80, 120, 200) for at in (0, 4, 8, 60) for x in [new(n)]] + [(x, "z" + x) for x in map(new, (80, 120, 200))]
+    made = [x for x, _ in pairs[::5]]
+    assert candidates(spark, pairs) == set(range(len(pairs)))
+    rows = [(i, x) for i, x in enumerate([*made, *(f"{x[:3]}z{x[4:]}" for x in made)])]
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i: x if i < len(made) else "" for i, x in rows}
+
+
 # --- 5: BPE
 
 
