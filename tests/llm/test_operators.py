@@ -283,6 +283,22 @@ def test_lines_without_spaces(spark):
     assert kept == {i: x if i < len(made) else "" for i, x in rows}
 
 
+def test_bands_find_pairs_at_the_threshold(spark):
+    """Lines of 48 to 200 characters, edited until their exact similarity is just 0.8 or more."""
+    rng = random.Random(8)
+    grams = lambda x: {x[k : k + 5] for k in range(len(x) - 4)}
+    letters, pairs = "abcdefghijklmnopqrstuvwxyz", []
+    while len(pairs) < 1500:
+        x = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(rng.randint(8, 28)))
+        near = last = x
+        while len(grams(x) & grams(near)) >= 0.8 * len(grams(x) | grams(near)):
+            last, at = near, rng.randrange(len(x))
+            near = near[:at] + rng.choice(letters) + near[at + 1 :]
+        if last != x:
+            pairs.append((x, last))
+    assert len(candidates(spark, pairs)) >= 0.99 * len(pairs)
+
+
 # --- 5: BPE
 
 
