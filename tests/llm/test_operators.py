@@ -145,6 +145,26 @@ def test_a_large_group_of_near_copies(spark, edits, with_base, apart):
     assert sum(got[i] != want[i] for i in got) <= apart
 
 
+@pytest.mark.parametrize("every", [True, False])
+def test_all_links_of_a_large_group(spark, every):
+    """300 copies of one text with two edits each, without the text: few pairs are links, and all count."""
+    rng = random.Random(4)
+    texts = []
+    for i in range(300):
+        words = [f"w{j}" for j in range(120)]
+        for _ in range(2):
+            words[rng.randrange(120)] = f"x{i}"
+        texts.append(" ".join(words))
+    sets = shingle_sets(texts)
+    links = [(a, b) for a in range(300) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r for r in probminhash.classes(df, every=every).collect()}
+    want = brute_classes(list(range(300)), sets)
+    assert sum(got[i]["class_id"] != want[i] for i in want) <= 1
+    if every:
+        assert 0.99 * len(links) <= sum(r["n_links"] for r in got.values()) / 2 <= len(links)
+
+
 def test_registers_estimate_weighted_jaccard():
     item = np.arange(1, 61, dtype=np.uint64)
     of = np.repeat([0, 1], 40)

@@ -1,9 +1,11 @@
 """Linking near duplicates: pairs to compare, found from band keys, and distributed union-find.
 
-No bucket is expanded into all its pairs and none is gathered in one task: buckets of few members are
-compared member by member; of larger ones each member is compared with the bucket's hub.
-What that leaves apart is compared further, in small groups dealt anew in each turn and in each bucket
-of some of the bands.
+Buckets of few members are compared member by member. Of larger ones each member is compared with the
+bucket's hub, and what that leaves apart further, in small groups dealt anew in each turn and in each
+bucket of some of the bands. Those are the cheap turns; whatever they leave in different components is
+then compared in full, so components are those of all pairs that share a bucket. Where all links are
+asked for, large buckets are compared in full from the start. No bucket is gathered in one task: its
+members are dealt into blocks, and a task compares two of them.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from weftline.llm.staging import drop, staged
 
 GROUP = 16
 WAVES = 2
+BLOCK = 256
 #: Lets Spark skip, by a Bloom filter of at most 8 MB, rows without a partner before they are shuffled.
 BLOOM = {"spark__sql__optimizer__runtime__bloomFilter__enabled": "true", "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0"}
 
@@ -54,11 +57,35 @@ def _grouped_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, likely: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame] | None:
-    """Links (a, b) between nodes whose sets have at least ``threshold`` as exact Jaccard similarity, enough for their components, and (node, root) of those that have links; None without candidates.
+def _block_links(members: DataFrame, keys: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """All links (a, b) between ``members`` (band, key, node, n, apart) of one bucket that differ in ``apart``, each once: blocks of about BLOCK members against each other.
+
+    A pair is looked at in the first band that it shares (``keys``: node, bands). Sets go with the members, once for each block they meet.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.select("band", "key", "node", "apart", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit("block"), "node"), blocks).cast("int").alias("own"))
+    dealt = dealt.join(keys.join(sets, "node"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    listed = dealt.groupBy("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("node", "apart", "own", "bands", "items")).alias("ms")).filter(F.size("ms") > 1)
+    left = listed.select("band", "lo", "hi", "ms", F.explode("ms").alias("x"))
+
+    def met(m: Column) -> Column:
+        x = F.col("x")
+        least, most = F.least(F.size(m["items"]), F.size(x["items"])), F.greatest(F.size(m["items"]), F.size(x["items"]))
+        pair = (m["node"] > x["node"]) & (m["apart"] != x["apart"]) & ((F.col("lo") == F.col("hi")) | (m["own"] != x["own"])) & (least >= F.lit(threshold) * most)
+        first = F.array_position(F.zip_with(m["bands"], x["bands"], lambda p, q: p == q), True) == F.col("band") + 1
+        return pair & first & (jaccard(m["items"], x["items"]) >= threshold)
+
+    found = left.select(F.col("x.node").alias("a"), F.explode(F.transform(F.filter("ms", met), lambda m: m["node"])).alias("b"))
+    return staged(found, "links")
+
+
+def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, every: bool = False) -> tuple[DataFrame, DataFrame] | None:
+    """Links (a, b) between nodes that share a band and whose sets have at least ``threshold`` as exact Jaccard similarity, and (node, root) of those that have links; None without candidates.
+
+    With ``every`` all such links, else enough for their components.
 
     ``items``: node (unique long) and bands (array of long keys, as many for each). ``sets_of`` gets nodes (node) and gives
-    node and items (array without repeats) for each. ``likely`` may leave out pairs that signatures show to be far apart.
+    node and items (array without repeats) for each.
     """
     keys = items.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = staged(keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("rep"), F.max("node").alias("last")).filter("n > 1"), "buckets")
@@ -75,7 +102,6 @@ def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshol
     hubs = large.join(met, "node").groupBy("band", "key").agg(F.max(F.struct("met", "node")).alias("hub")).select("band", "key", F.col("hub.node").alias("hub"))
     stars = large.join(hubs, ["band", "key"]).filter("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     nodes_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rough = lambda pairs: staged(likely(pairs) if likely else pairs, "pairs")
 
     def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         one = sets.select(F.col("node").alias("a"), F.col("items").alias("xs"))
@@ -83,34 +109,45 @@ def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshol
         met = pairs.join(one, "a").join(other, "b").filter(jaccard(F.col("xs"), F.col("ys")) >= threshold)
         return staged(met.select("a", "b"), "links")
 
-    pairs = rough(two.unionByName(_grouped_pairs(few)).unionByName(stars).distinct())
+    pairs = two.unionByName(_grouped_pairs(few))
+    pairs = staged((pairs if every else pairs.unionByName(stars)).distinct(), "pairs")
     drop(sizes)
-    first = nodes_of(pairs)
-    sets = staged(sets_of(first if likely else first.unionByName(large.select("node")).distinct()), "sets")
-    made = [sets]
+    sets = staged(sets_of(nodes_of(pairs).unionByName(large.select("node")).distinct()), "sets")
     edges = similar(pairs, sets)
     drop(pairs)
+    some_large = not large.isEmpty()
+    if every:
+        if some_large:
+            # A pair that shares a small bucket too is there already.
+            edges = staged(edges.unionByName(_block_links(large.withColumn("apart", F.col("node")), items, sets, threshold)).distinct(), "links")
+        found = roots(edges)
+        drop(members, sets)
+        return edges, found
     found = roots(edges)
-    for turn in range(WAVES if not large.isEmpty() else 0):
-        # Each turn looks at some bands, and there at buckets whose members are still in different components.
-        own = large.filter(F.col("band") % WAVES == turn).join(found, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("apart"))
+
+    def apart_still(some: DataFrame) -> DataFrame:
+        """Members of buckets in which there are different components."""
+        own = some.join(found, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("apart"))
         mixed = own.groupBy("band", "key").agg(F.min("apart").alias("lo"), F.max("apart").alias("hi")).filter("lo != hi").select("band", "key")
-        dealt = own.join(mixed, ["band", "key"]).withColumn("sub", F.pmod(F.xxhash64(F.lit(turn), "key", "node"), F.greatest(F.lit(1), (F.col("n") / GROUP).cast("long"))))
-        pairs = rough(_grouped_pairs(dealt.select("band", "key", "sub", "node", "apart")).distinct())
-        if pairs.isEmpty():
-            continue
-        if likely:
-            lacking = nodes_of(pairs).join(sets.select("node"), "node", "left_anti")
-            if not lacking.isEmpty():
-                made.append(staged(sets_of(lacking), "sets"))
-                sets = sets.unionByName(made[-1])
-        more = similar(pairs, sets)
-        drop(pairs)
+        return own.join(mixed, ["band", "key"])
+
+    def joined(more: DataFrame) -> None:
+        nonlocal edges, found
         if not more.isEmpty():
             # The stars so far and the new links have the components of all links.
             edges = edges.unionByName(more)
             found = roots(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    drop(members, *made)
+
+    for turn in range(WAVES if some_large else 0):
+        # Each turn looks at some bands, and there at buckets whose members are still in different components.
+        dealt = apart_still(large.filter(F.col("band") % WAVES == turn)).withColumn("sub", F.pmod(F.xxhash64(F.lit(turn), "key", "node"), F.greatest(F.lit(1), (F.col("n") / GROUP).cast("long"))))
+        pairs = staged(_grouped_pairs(dealt.select("band", "key", "sub", "node", "apart")).distinct(), "pairs")
+        if not pairs.isEmpty():
+            joined(similar(pairs, sets))
+        drop(pairs)
+    if some_large:
+        joined(_block_links(apart_still(large), items, sets, threshold))
+    drop(members, sets)
     return edges, found
 
 

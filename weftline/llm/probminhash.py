@@ -101,8 +101,8 @@ def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, h1 long, h2 long, n_shingles long, bands array<long>")
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR) -> DataFrame:
-    """id, class_id (the least id of its class), n_links (verified links of its text to other texts that were followed), n_copies (rows with the same words), n_shingles: a row for each row of ``df``."""
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR, every: bool = True) -> DataFrame:
+    """id, class_id (the least id of its class), n_links (all links of its text to other texts; without ``every`` only those that the classes need), n_copies (rows with the same words), n_shingles: a row for each row of ``df``."""
     sketched = staged(_sketched(df, id_col, text_col), "sketches")
     worded = sketched.filter("h1 is not null")
     nodes = staged(worded.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")).select(F.monotonically_increasing_id().alias("node"), "*"), "texts")
@@ -114,7 +114,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
         with setting(df.sparkSession, **BLOOM):
             return staged(_keep_own(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(wanted, F.col("__id") == F.col("__first"))), "sets")
 
-    links = linked(nodes.select("node", "bands"), sets_of, threshold)
+    links = linked(nodes.select("node", "bands"), sets_of, threshold, every)
     if links is None:
         found = nodes.select("h1", "h2", F.col("first").alias("class_id"), "copies", F.lit(0).cast("long").alias("links"))
     else:
@@ -144,6 +144,6 @@ def _keep_own(texts: DataFrame) -> DataFrame:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR) -> DataFrame:
     """``df`` without near duplicates: of each class the row with the least id stays (of rows that repeat it, one). Rows without an id all stay."""
-    found = classes(df, id_col, text_col, threshold).filter(F.col("id") == F.col("class_id")).select(F.col("id").alias("__id")).distinct()
+    found = classes(df, id_col, text_col, threshold, every=False).filter(F.col("id") == F.col("class_id")).select(F.col("id").alias("__id")).distinct()
     kept = df.join(found, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__key", F.xxhash64(text_col)).dropDuplicates([id_col, "__key"]).drop("__key")
     return kept.unionByName(df.filter(F.col(id_col).isNull()))
