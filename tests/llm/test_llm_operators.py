@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bpe, components, langid, lines, mixing, neighbours, pitmanyor, probminhash, rules, textvec, urls, warc
 from weftline.llm.queries import tokenizer_path
+from weftline.llm.staging import staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " \t\n", "a", "a", "Ünïcödé ß é", "one two", "x" * 30_000, "word " * 3000, "\n\nline\n\nline\n", "tail\u00a0nbsp\x1cfs", "<|endoftext|> inside <|endoftext|>"]
@@ -128,41 +129,44 @@ def test_near_duplicates(docs):
     assert {r["doc_id"] for r in probminhash.keep_one(docs).collect()} == set(want.values())
 
 
-@pytest.mark.parametrize(("edits", "with_base", "apart"), [(2, True, 0), (1, False, 0), (2, False, 20)])
-def test_a_large_group_of_near_copies(spark, edits, with_base, apart):
+@pytest.mark.parametrize(("copies", "edits", "with_base"), [(300, 2, True), (300, 1, False), (300, 2, False), (1500, 2, False)])
+def test_a_large_group_of_near_copies(spark, copies, edits, with_base):
     """Copies of one text; without it and with two edits most pairs of copies are too far apart, and few links hold the group together."""
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     rows = [(-1, " ".join(base))] if with_base else []
-    for i in range(300):
+    for i in range(copies):
         words = list(base)
         for _ in range(edits):
             words[rng.randrange(120)] = f"x{i}"
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_classes([i for i, _ in rows], shingle_sets([t for _, t in rows]))
-    got = {r["id"]: r["class_id"] for r in probminhash.classes(df).collect()}
-    assert sum(got[i] != want[i] for i in got) <= apart
-
-
-@pytest.mark.parametrize("every", [True, False])
-def test_all_links_of_a_large_group(spark, every):
-    """300 copies of one text with two edits each, without the text: few pairs are links, and all count."""
-    rng = random.Random(4)
-    texts = []
-    for i in range(300):
-        words = [f"w{j}" for j in range(120)]
-        for _ in range(2):
-            words[rng.randrange(120)] = f"x{i}"
-        texts.append(" ".join(words))
-    sets = shingle_sets(texts)
-    links = [(a, b) for a in range(300) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["id"]: r for r in probminhash.classes(df, every=every).collect()}
-    want = brute_classes(list(range(300)), sets)
-    assert sum(got[i]["class_id"] != want[i] for i in want) <= 1
-    if every:
-        assert 0.99 * len(links) <= sum(r["n_links"] for r in got.values()) / 2 <= len(links)
+    assert {r["id"]: r["class_id"] for r in probminhash.classes(df).collect()} == want
+
+
+@pytest.mark.parametrize("width", [16, 3])
+def test_components_are_those_of_all_candidates(spark, monkeypatch, width):
+    """Sets in buckets of every size, where links form chains, pairs and lone members, with blocks and waves of one or many."""
+    monkeypatch.setattr(components, "BLOCK", width)
+    monkeypatch.setattr(components, "SLICE", width)
+    rng = random.Random(width)
+    sets = []
+    for _ in range(240):
+        if sets and rng.random() < 0.8:
+            near = set(rng.choice(sets))
+            near.discard(next(iter(near)))
+            near.add(rng.randrange(10**6))
+            sets.append(near)
+        else:
+            sets.append({rng.randrange(10**6) for _ in range(12)})
+    # One bucket for all, one for a third, one for pairs; bands are what the first numbers of a set are not.
+    rows = [(i, [1, i % 3, 1000 + i // 2], 12, sorted(x)) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, bands array<long>, weight int, items array<long>").cache()
+    payload = lambda some: staged(df.join(some, "node").select("node", "bands", "items"), "payload")
+    got = {r["node"]: r["root"] for r in components.linked(df.drop("items"), payload, lambda a, b: components.similar(a, b, 0.8)).collect()}
+    want = brute_classes(list(range(len(sets))), sets)
+    assert got == want
 
 
 def test_registers_estimate_weighted_jaccard():

@@ -1,11 +1,18 @@
-"""Linking near duplicates: pairs to compare, found from band keys, and distributed union-find.
-
-Buckets of few members are compared member by member. Of larger ones each member is compared with the
-bucket's hub, and what that leaves apart further, in small groups dealt anew in each turn and in each
-bucket of some of the bands. Those are the cheap turns; whatever they leave in different components is
-then compared in full, so components are those of all pairs that share a bucket. Where all links are
-asked for, large buckets are compared in full from the start. No bucket is gathered in one task: its
-members are dealt into blocks, and a task compares two of them.
+"""Linking near duplicates: candidates from band keys, exact comparison, and distributed union-find.
+
+Members of one band bucket are candidates. What is asked for are the components of all links between
+candidates, so two members need not be compared once they are known to be in one component:
+
+1. every bucket of two is compared, and in larger ones each member with the bucket's hub;
+2. a bucket whose members are then in several components keeps an anchor, a member of its largest one.
+   Members outside the anchor's component seek: wave by wave they are compared with the next, larger
+   slice of the bucket, leaving out members of their own component, until the slices have covered the
+   bucket or nobody seeks.
+
+Of two members of a bucket that end up apart at least one was outside the anchor's component all along
+and met the other in that other's slice; so the components are exactly those of all candidates, at any
+size of bucket. A wave takes seekers and slice in blocks of bounded number and weight, each block
+against each, so no bucket is gathered in one task. Only links between components leave a block.
 """
 
 from __future__ import annotations
@@ -17,9 +24,12 @@ from pyspark.sql import functions as F
 
 from weftline.llm.staging import drop, staged
 
-GROUP = 16
-WAVES = 2
-BLOCK = 256
+#: Members that a seeker meets in the first wave, and how many times as many in each one after.
+SLICE, GROWTH = 16, 4
+#: The most members of a block, and the most weight that they have together.
+BLOCK, WEIGHT = 256, 1 << 20
+#: Keys of large buckets are sent to all tasks up to this number (some 40 bytes each), else joined.
+SENT_KEYS = 500_000
 #: Lets Spark skip, by a Bloom filter of at most 8 MB, rows without a partner before they are shuffled.
 BLOOM = {"spark__sql__optimizer__runtime__bloomFilter__enabled": "true", "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0"}
 
@@ -33,125 +43,162 @@ def roots(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = staged(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), "edges")
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = staged(large.filter("a != b").distinct(), "edges")
         drop(now)
         # Now every edge leads down, from a to b.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        own, next_ = F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(low, "a").select(F.explode(F.array(own, next_)).alias("e")).select("e.a", "e.b")
         now = staged(small.filter("a != b").distinct(), "edges")
         drop(large)
         # Stars: no node has two edges down, and none that has one is another's root.
-        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("d")), F.struct(F.col("b").alias("x"), F.lit(0).alias("d")))).alias("e"))
+        upper, lower = F.struct(F.col("a").alias("x"), F.lit(1).alias("d")), F.struct(F.col("b").alias("x"), F.lit(0).alias("d"))
+        ends = now.select(F.explode(F.array(upper, lower)).alias("e"))
         degree = ends.groupBy("e.x").agg(F.sum("e.d").alias("down"), F.min("e.d").alias("lo"))
         if degree.filter((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("lo") == 0))).isEmpty():
             break
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return staged(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "components")
-
+    found = staged(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "components")
+    drop(now)
+    return found
 
-def _grouped_pairs(members: DataFrame) -> DataFrame:
-    """Pairs inside (band, key, sub) groups of ``members`` (band, key, sub, node, apart): GROUP members on average; members of one ``apart`` are not paired."""
-    listed = members.groupBy("band", "key", "sub").agg(F.collect_list(F.struct("node", "apart")).alias("ms")).filter(F.size("ms") > 1)
-    left = listed.select("ms", F.explode("ms").alias("x"))
-    pairs = left.select("x", F.explode(F.filter("ms", lambda m: (m["node"] > F.col("x.node")) & (m["apart"] != F.col("x.apart")))).alias("y"))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
+def _buckets(items: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Pairs (a, b) that are all of a bucket, and members (band, key, n, weight, node) of larger buckets, both staged; None without any.
 
-def _block_links(members: DataFrame, keys: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """All links (a, b) between ``members`` (band, key, node, n, apart) of one bucket that differ in ``apart``, each once: blocks of about BLOCK members against each other.
-
-    A pair is looked at in the first band that it shares (``keys``: node, bands). Sets go with the members, once for each block they meet.
+    Buckets that hold the same members as one of an earlier band are left out.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.select("band", "key", "node", "apart", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit("block"), "node"), blocks).cast("int").alias("own"))
-    dealt = dealt.join(keys.join(sets, "node"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    listed = dealt.groupBy("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("node", "apart", "own", "bands", "items")).alias("ms")).filter(F.size("ms") > 1)
-    left = listed.select("band", "lo", "hi", "ms", F.explode("ms").alias("x"))
-
-    def met(m: Column) -> Column:
-        x = F.col("x")
-        least, most = F.least(F.size(m["items"]), F.size(x["items"])), F.greatest(F.size(m["items"]), F.size(x["items"]))
-        pair = (m["node"] > x["node"]) & (m["apart"] != x["apart"]) & ((F.col("lo") == F.col("hi")) | (m["own"] != x["own"])) & (least >= F.lit(threshold) * most)
-        first = F.array_position(F.zip_with(m["bands"], x["bands"], lambda p, q: p == q), True) == F.col("band") + 1
-        return pair & first & (jaccard(m["items"], x["items"]) >= threshold)
-
-    found = left.select(F.col("x.node").alias("a"), F.explode(F.transform(F.filter("ms", met), lambda m: m["node"])).alias("b"))
-    return staged(found, "links")
-
-
-def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, every: bool = False) -> tuple[DataFrame, DataFrame] | None:
-    """Links (a, b) between nodes that share a band and whose sets have at least ``threshold`` as exact Jaccard similarity, and (node, root) of those that have links; None without candidates.
-
-    With ``every`` all such links, else enough for their components.
-
-    ``items``: node (unique long) and bands (array of long keys, as many for each). ``sets_of`` gets nodes (node) and gives
-    node and items (array without repeats) for each.
+    keys = items.select("node", "weight", F.posexplode("bands").alias("band", "key"))
+    counted = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
+    buckets = staged(counted.filter("n > 1"), "buckets")
+    if buckets.isEmpty():
+        drop(buckets)
+        return None
+    large = buckets.filter("n > 2").select("band", "key")
+    large = F.broadcast(large) if large.count() <= SENT_KEYS else large
+    every = staged(keys.join(large, ["band", "key"]), "members")
+    shape = every.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"), F.sum("weight").alias("weight"))
+    first = shape.groupBy("n", "who").agg(F.min(F.struct("band", "key", "weight")).alias("x")).select("x.band", "x.key", "n", F.col("x.weight").alias("all_weight"))
+    members = staged(every.join(first, ["band", "key"]).select("band", "key", "n", "all_weight", "node", "weight"), "members")
+    two = staged(buckets.filter("n = 2").select("a", "b").distinct(), "pairs")
+    drop(buckets, every)
+    return two, members
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Each member with its bucket's hub: in small buckets the least node, in others the member that meets most others, which copies may have been made from."""
+    met = members.filter(F.col("n") > SLICE).groupBy("node").agg(F.sum("n").alias("met"))
+    ranked = members.join(met, "node", "left").select("band", "key", "node", F.struct(F.coalesce("met", F.lit(0)).alias("met"), (-F.col("node")).alias("less")).alias("r"))
+    hubs = ranked.groupBy("band", "key").agg((-F.max("r")["less"]).alias("hub"))
+    joined = members.join(hubs, ["band", "key"]).filter("node != hub")
+    return joined.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+
+
+def _seeking(open_: DataFrame, found: DataFrame) -> DataFrame:
+    """Of buckets with members outside the anchor's component: how many (r), their weight (rw), and the anchor's component (main)."""
+    own = open_.join(found, "node")
+    by_root = own.groupBy("band", "key", "root").agg(F.count("*").alias("c"), F.sum("weight").alias("w"), F.bool_or(F.col("node") == F.col("anchor")).alias("main"))
+    apart = lambda c: F.sum(F.when(~F.col("main"), F.col(c)).otherwise(0))
+    return by_root.groupBy("band", "key").agg(apart("c").alias("r"), apart("w").alias("rw"), F.max(F.when(F.col("main"), F.col("root"))).alias("main")).filter("r > 0")
+
+
+def _blocks(own: DataFrame, least: int, most: int) -> DataFrame:
+    """Seekers, and members at places from ``least`` to ``most`` of n, of each bucket, dealt into blocks: each block of the ones (s) against each of the others (m)."""
+    share = F.least(F.lit(1.0), F.lit(float(most - least)) / F.col("n"))
+    size = lambda count, weight: F.ceil(F.greatest(F.lit(1.0), count / BLOCK, weight / F.lit(float(WEIGHT)))).cast("int")
+    place = F.pmod(F.xxhash64(F.lit("place"), "node"), F.lit(1 << 30)) * F.col("n") / F.lit(1 << 30)
+    own = own.withColumns(
+        {
+            "seeks": F.col("root") != F.col("main"),
+            "met": (place >= least) & (place < most),
+            "sb": size(F.col("r"), F.col("rw")),
+            "mb": size(share * F.col("n"), share * F.col("all_weight")),
+        }
+    ).filter("seeks or met")
+    dealt = lambda n: F.pmod(F.xxhash64(F.lit("block"), "node"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    none = F.array().cast("array<struct<s:int,m:int,left:boolean>>")
+    seeker = F.transform(every("mb"), lambda m: F.struct(dealt("sb").alias("s"), m.alias("m"), F.lit(True).alias("left")))
+    other = F.transform(every("sb"), lambda s: F.struct(s.alias("s"), dealt("mb").alias("m"), F.lit(False).alias("left")))
+    at = F.concat(F.when(F.col("seeks"), seeker).otherwise(none), F.when(F.col("met"), other).otherwise(none))
+    return own.select("band", "key", "node", "root", "seeks", "met", F.explode(at).alias("at"))
+
+
+def _wave(dealt: DataFrame, held: DataFrame, near: Callable, prepare: Callable) -> DataFrame:
+    """Links (a, b) between components, by comparing blocks."""
+    row = F.struct("node", "root", "seeks", "met", "bands", "items")
+    side = lambda left: F.collect_list(F.when(F.col("at.left") == left, row))
+    block = dealt.join(held, "node").groupBy("band", "key", "at.s", "at.m").agg(side(True).alias("xs"), side(False).alias("ys"))
+    ready = lambda ms: F.transform(ms, lambda m: F.struct(m["node"].alias("node"), m["root"].alias("root"), m["seeks"].alias("seeks"), m["met"].alias("met"), m["bands"].alias("bands"), prepare(m["items"]).alias("items")))
+    block = block.filter((F.size("xs") > 0) & (F.size("ys") > 0)).select("band", ready(F.col("xs")).alias("xs"), ready(F.col("ys")).alias("ys"))
+
+    def linked_to(x: Column) -> Column:
+        """Components of ``ys`` that ``x`` is linked to. A pair counts in the first band that it shares, and once if both seek and both are met."""
+
+        def hit(y: Column) -> Column:
+            first = F.array_position(F.zip_with(x["bands"], y["bands"], lambda p, q: p == q), True) == F.col("band") + 1
+            again = y["seeks"] & x["met"] & (x["node"] > y["node"])
+            return (y["root"] != x["root"]) & ~again & first & near(x["items"], y["items"])
+
+        return F.array_distinct(F.transform(F.filter("ys", hit), lambda y: F.struct(x["root"].alias("a"), y["root"].alias("b"))))
+
+    return block.select(F.explode(F.flatten(F.transform("xs", linked_to))).alias("e")).select("e.a", "e.b").distinct()
+
+
+def linked(items: DataFrame, payload_of: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], prepare: Callable[[Column], Column] = lambda x: x) -> DataFrame | None:
+    """(node, root), staged, of all nodes that share a bucket with another: root names the component of links; None without any.
+
+    ``items``: node (unique long), bands (array of long keys, as many for each) and weight (what the node's payload takes
+    to hold). ``payload_of`` gets nodes (node) and gives node, bands and items for each, staged. Two nodes that share a band are
+    linked where ``near`` holds for what ``prepare`` makes of their items.
     """
-    keys = items.select("node", F.posexplode("bands").alias("band", "key"))
-    sizes = staged(keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("rep"), F.max("node").alias("last")).filter("n > 1"), "buckets")
-    if sizes.isEmpty():
-        drop(sizes)
+    buckets = _buckets(items)
+    if buckets is None:
         return None
-    # A bucket of two is known from its least and greatest node; only larger ones are looked up again.
-    two = sizes.filter("n = 2").select(F.col("rep").alias("a"), F.col("last").alias("b"))
-    members = staged(keys.join(sizes.filter("n > 2"), ["band", "key"]).select("band", "key", "node", "n"), "members")
-    few = members.filter(F.col("n") <= GROUP).select("band", "key", F.lit(0).alias("sub"), "node", F.col("node").alias("apart"))
-    large = members.filter(F.col("n") > GROUP).select("band", "key", "node", "n")
-    # A large bucket's hub is the member that meets most others in all its large buckets: what copies were made from, rather than one of them.
-    met = large.groupBy("node").agg(F.sum("n").alias("met"))
-    hubs = large.join(met, "node").groupBy("band", "key").agg(F.max(F.struct("met", "node")).alias("hub")).select("band", "key", F.col("hub.node").alias("hub"))
-    stars = large.join(hubs, ["band", "key"]).filter("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    nodes_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-    def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        one = sets.select(F.col("node").alias("a"), F.col("items").alias("xs"))
-        other = sets.select(F.col("node").alias("b"), F.col("items").alias("ys"))
-        met = pairs.join(one, "a").join(other, "b").filter(jaccard(F.col("xs"), F.col("ys")) >= threshold)
-        return staged(met.select("a", "b"), "links")
-
-    pairs = two.unionByName(_grouped_pairs(few))
-    pairs = staged((pairs if every else pairs.unionByName(stars)).distinct(), "pairs")
-    drop(sizes)
-    sets = staged(sets_of(nodes_of(pairs).unionByName(large.select("node")).distinct()), "sets")
-    edges = similar(pairs, sets)
+    two, members = buckets
+    pairs = staged(two.unionByName(_stars(members)).distinct(), "pairs")
+    drop(two)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = payload_of(wanted)
+    one = held.select(F.col("node").alias("a"), F.col("items").alias("xs"))
+    other = held.select(F.col("node").alias("b"), F.col("items").alias("ys"))
+    both = F.array(F.struct(prepare(F.col("xs")).alias("x"), prepare(F.col("ys")).alias("y")))
+    links = staged(pairs.join(one, "a").join(other, "b").filter(F.exists(both, lambda p: near(p["x"], p["y"]))).select("a", "b"), "links")
     drop(pairs)
-    some_large = not large.isEmpty()
-    if every:
-        if some_large:
-            # A pair that shares a small bucket too is there already.
-            edges = staged(edges.unionByName(_block_links(large.withColumn("apart", F.col("node")), items, sets, threshold)).distinct(), "links")
-        found = roots(edges)
-        drop(members, sets)
-        return edges, found
-    found = roots(edges)
-
-    def apart_still(some: DataFrame) -> DataFrame:
-        """Members of buckets in which there are different components."""
-        own = some.join(found, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("apart"))
-        mixed = own.groupBy("band", "key").agg(F.min("apart").alias("lo"), F.max("apart").alias("hi")).filter("lo != hi").select("band", "key")
-        return own.join(mixed, ["band", "key"])
-
-    def joined(more: DataFrame) -> None:
-        nonlocal edges, found
+    joined = roots(links)
+    found = staged(held.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "components")
+    drop(links, joined)
+    # Buckets in several components, each with a member of its largest one as anchor; the others are done.
+    by_root = members.join(found, "node").groupBy("band", "key", "root").agg(F.count("*").alias("c"), F.min("node").alias("rep"))
+    mixed = by_root.groupBy("band", "key").agg(F.max(F.struct("c", "rep"))["rep"].alias("anchor"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    open_ = staged(members.join(mixed, ["band", "key"]), "members")
+    drop(members)
+    largest = open_.agg(F.max("n")).first()[0] or 0
+    least, most = 0, SLICE
+    while least < largest:
+        some = open_.filter(F.col("n") > least)
+        seeking = staged(_seeking(some, found), "seeking")
+        if seeking.isEmpty():
+            drop(seeking)
+            break
+        dealt = staged(_blocks(some.join(found, "node").join(seeking, ["band", "key"]), least, most), "blocks")
+        more = staged(_wave(dealt, held, near, prepare), "links")
+        drop(seeking, dealt)
         if not more.isEmpty():
-            # The stars so far and the new links have the components of all links.
-            edges = edges.unionByName(more)
-            found = roots(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
-    for turn in range(WAVES if some_large else 0):
-        # Each turn looks at some bands, and there at buckets whose members are still in different components.
-        dealt = apart_still(large.filter(F.col("band") % WAVES == turn)).withColumn("sub", F.pmod(F.xxhash64(F.lit(turn), "key", "node"), F.greatest(F.lit(1), (F.col("n") / GROUP).cast("long"))))
-        pairs = staged(_grouped_pairs(dealt.select("band", "key", "sub", "node", "apart")).distinct(), "pairs")
-        if not pairs.isEmpty():
-            joined(similar(pairs, sets))
-        drop(pairs)
-    if some_large:
-        joined(_block_links(apart_still(large), items, sets, threshold))
-    drop(members, sets)
-    return edges, found
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays without repeats; 0 if both are empty."""
-    common = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(common.cast("double"), F.size(a) + F.size(b) - common), F.lit(0.0))
+            merged = roots(more)
+            to = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
+            was, found = found, staged(found.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "components")
+            drop(was, merged)
+        drop(more)
+        least, most = most, most * (1 + GROWTH)
+    drop(open_, held)
+    return found
+
+
+def similar(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two arrays without repeats have at least ``threshold`` as Jaccard similarity; empty ones are similar to nothing."""
+    sizes = F.size(a) + F.size(b)
+    could = F.least(F.size(a), F.size(b)) >= F.lit(threshold) * F.greatest(F.size(a), F.size(b))
+    enough = F.exists(F.array(F.size(F.array_intersect(a, b))), lambda c: c >= F.lit(threshold) * (sizes - c))
+    return could & (F.size(a) > 0) & enough

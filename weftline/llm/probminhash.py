@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textvec
-from weftline.llm.components import BLOOM, linked
-from weftline.llm.staging import setting, small_batches, staged, tidy
+from weftline.llm.components import BLOOM, linked, similar
+from weftline.llm.staging import drop, setting, small_batches, staged, tidy
 
 WORDS = 5
 SIMILAR = 0.8
@@ -101,35 +101,38 @@ def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, h1 long, h2 long, n_shingles long, bands array<long>")
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR, every: bool = True) -> DataFrame:
-    """id, class_id (the least id of its class), n_links (all links of its text to other texts; without ``every`` only those that the classes need), n_copies (rows with the same words), n_shingles: a row for each row of ``df``."""
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR) -> DataFrame:
+    """id, class_id (the least id of its class), n_copies (rows with the same words), n_shingles: a row for each row of ``df``."""
     sketched = staged(_sketched(df, id_col, text_col), "sketches")
-    worded = sketched.filter("h1 is not null")
-    nodes = staged(worded.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")).select(F.monotonically_increasing_id().alias("node"), "*"), "texts")
+    grouped = sketched.filter("h1 is not null").groupBy("h1", "h2")
+    texts = grouped.agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("weight"))
+    nodes = staged(texts.select(F.monotonically_increasing_id().alias("node"), "*"), "texts")
 
-    def sets_of(some: DataFrame) -> DataFrame:
+    def payload_of(some: DataFrame) -> DataFrame:
         # A text is read from the row of its first id; where that id has several texts, hashes tell which.
-        wanted = nodes.join(some, "node").select("node", F.col("first").alias("__first"), F.col("h1").alias("__h1"))
-        wanted = staged(wanted, "wanted").filter("node >= 0")
+        wanted = staged(nodes.join(some, "node").select("node", "bands", F.col("first").alias("__first"), F.col("h1").alias("__h1")), "wanted")
+        docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
         with setting(df.sparkSession, **BLOOM):
-            return staged(_keep_own(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(wanted, F.col("__id") == F.col("__first"))), "sets")
-
-    links = linked(nodes.select("node", "bands"), sets_of, threshold, every)
-    if links is None:
-        found = nodes.select("h1", "h2", F.col("first").alias("class_id"), "copies", F.lit(0).cast("long").alias("links"))
+            sets = staged(_keep_own(docs.join(wanted.filter("node >= 0"), F.col("__id") == F.col("__first"))), "sets")
+        drop(wanted)
+        return sets
+
+    components = linked(nodes.select("node", "bands", "weight"), payload_of, lambda a, b: similar(a, b, threshold))
+    rooted = nodes.select("node", "h1", "h2", "first", "copies")
+    if components is None:
+        found = rooted.withColumn("class_id", F.col("first"))
     else:
-        edges, components = links
-        rooted = nodes.select("node", "h1", "h2", "first", "copies").join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        least = rooted.groupBy("root").agg(F.min("first").alias("class_id"))
-        found = rooted.join(least, "root").join(degree, "node", "left").select("h1", "h2", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    found = staged(found, "classes")
+        rooted = rooted.join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("class_id")), "root")
+    found = staged(found.select("h1", "h2", "class_id", "copies"), "classes")
+    drop(nodes, components)
     out = sketched.select("id", "h1", "h2", "n_shingles").join(found, ["h1", "h2"], "left")
-    return out.select("id", F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), "n_shingles")
+    class_id = F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id")
+    return out.select("id", class_id, F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), "n_shingles")
 
 
 def _keep_own(texts: DataFrame) -> DataFrame:
-    """Shingle sets of the texts whose words are those of their node."""
+    """Shingle sets (items) of the texts whose words are those of their node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,13 +140,15 @@ def _keep_own(texts: DataFrame) -> DataFrame:
                 of, gram, _, h1, _ = shingles(piece.column("text"))
                 own = h1.view(np.int64) == piece.column("__h1").to_numpy()
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=piece.num_rows))]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"node": piece.column("node"), "items": pa.ListArray.from_arrays(pa.array(ends), pa.array(gram.view(np.int64)))}).filter(pa.array(own))
+                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(gram.view(np.int64)))
+                yield pa.RecordBatch.from_pydict({"node": piece.column("node"), "bands": piece.column("bands"), "items": sets}).filter(pa.array(own))
 
-    return texts.select("node", "__h1", "text").mapInArrow(tidy(run), "node long, items array<long>").dropDuplicates(["node"])
+    found = texts.select("node", "bands", "__h1", "text").mapInArrow(tidy(run), "node long, bands array<long>, items array<long>")
+    return found.dropDuplicates(["node"])
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR) -> DataFrame:
     """``df`` without near duplicates: of each class the row with the least id stays (of rows that repeat it, one). Rows without an id all stay."""
-    found = classes(df, id_col, text_col, threshold, every=False).filter(F.col("id") == F.col("class_id")).select(F.col("id").alias("__id")).distinct()
+    found = classes(df, id_col, text_col, threshold).filter(F.col("id") == F.col("class_id")).select(F.col("id").alias("__id")).distinct()
     kept = df.join(found, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__key", F.xxhash64(text_col)).dropDuplicates([id_col, "__key"]).drop("__key")
     return kept.unionByName(df.filter(F.col(id_col).isNull()))

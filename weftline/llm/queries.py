@@ -32,7 +32,7 @@ def op1_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
 def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """The class of near copies that each document belongs to."""
     found = probminhash.classes(table(spark, folder, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies", "n_shingles")
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_shingles")
 
 
 URL_RULES = [urls.Rule("allow", "org/"), urls.Rule("block", "example.org/es/"), urls.Rule("block", "example.org/en/1"), urls.Rule("allow", "com/fr/"), urls.Rule("block", "com/de/")]
