@@ -74,22 +74,134 @@ def test_scores_do_not_depend_on_what_is_broadcast(spark, docs, kinds):
 
 def test_probabilities_sum_to_one(spark):
     model = pitmanyor.train(spark.createDataFrame([("a b a b c a",), ("b a c",)], "text string"), samples=2)
-    words = ["a", "b", "c", ""]
-    texts = spark.createDataFrame([(f"a {w}".strip(), w) for w in words] + [("a zz", "?"), ("a", "-")], "text string, w string")
-    # log P(a, w, end) for all w; what follows "a": each word or the end.
-    first = {r["w"]: r["score"] for r in pitmanyor.score(texts, model).collect()}
-    counts = {w: r for w, r in first.items()}
-    assert all(v < 0 for v in counts.values())
-    state = model.words.collect()
-    ctx = {r["w"]: np.frombuffer(bytes(r["ctx"]), np.int16) for r in state}
-    total = 0.0
-    of_context = 1 + list(model.frequent).index(textvec.hashes(np.frombuffer(b"a", np.uint8), np.array([0]), np.array([1]))[0] & pitmanyor.MASK)
-    for r in state:
-        p = np.frombuffer(bytes(r["p"]), np.float64) / len(model.unknown)
-        hit = ctx[r["w"]] == of_context
-        total += p[hit][0] if hit.any() else (model.backoffs[:, of_context] * np.frombuffer(bytes(r["roots"]), np.float64)).mean()
-    total += (model.backoffs[:, of_context] * model.unknown).mean()
-    assert math.isclose(total, 1.0, rel_tol=1e-9)
+    own = lambda w: textvec.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] & pitmanyor.MASK
+    state = {np.int64(r["w"]).astype(np.uint64): r for r in model.words.collect()}
+    assert len(state) == 4 and model.vocabulary == 4 and model.tokens == 11
+    for w in "abc":
+        at = pitmanyor.FIRST_OWN + list(model.contexts.words).index(own(w))
+        total = model.to_root()[at] * model.unknown
+        for r in state.values():
+            p = dict(zip(np.frombuffer(bytes(r["ctx"]), np.int16), np.frombuffer(bytes(r["p"]), np.float64), strict=True))
+            above = model.contexts.parent[at]
+            total += p[at] if at in p else model.backoff[at] * p[above] if above in p else model.to_root()[at] * r["root"]
+        assert math.isclose(total, 1.0, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize(("n", "others", "a", "b"), [(3, 10.0, 0.5, 9.0), (64, 1000.0, 0.1, 3000.0), (70, 100.0, 0.05, 10.0), (100, 3000.0, 1e-4, 1e4), (200, 5000.0, 0.5, 1000.0), (300, 1e5, 1e-5, 1e3), (390, 20.0, 30.0, 300.0), (400, 50.0, 1e-2, 1e2)])
+def test_tables_are_drawn_from_their_distribution(n, others, a, b):
+    d, k = 0.7, np.arange(n)
+    weight = pitmanyor.stirling(d, 400)[n, 1 : n + 1] + np.cumsum(np.log((100 + d * (others + k)) * (a + k) / (b + k)))
+    p = np.exp(weight - weight.max())
+    p /= p.sum()
+    mean = (p * (k + 1)).sum()
+    spread = math.sqrt((p * (k + 1 - mean) ** 2).sum())
+    one = np.ones(20_000)
+    got = pitmanyor.draw_tables(np.full(20_000, n), d, 100.0, others * one, a * one, b * one, np.random.default_rng(1))
+    assert abs(got.mean() - mean) < 0.15 * spread + 0.01 and abs(got.std() - spread) < 0.06 * spread + 0.02
+
+
+def _totals(own, contexts):
+    tables = np.bincount(own.ctx, own.t, pitmanyor.CONTEXTS).astype(np.int64)
+    return pitmanyor.Totals(np.bincount(own.ctx, own.customers(), pitmanyor.CONTEXTS).astype(np.int64), tables, int(tables[: pitmanyor.FIRST_OWN].sum()), int(own.root.sum()), own.words)
+
+
+def _one_by_one(tokens_, parent, strength, vocabulary, sweeps, rng):
+    """The textbook sampler: one customer at a time is unseated and seated again, in restaurants with tables of sizes. Mean tables of each (context, word), and of the root."""
+    levels = lambda ctx: strength.root if ctx == -1 else strength.shared if ctx < pitmanyor.FIRST_OWN else strength.own
+    seats = collections.defaultdict(lambda: collections.defaultdict(list))
+    up = lambda ctx: -2 if ctx == -1 else -1 if ctx < pitmanyor.FIRST_OWN else parent[ctx]
+
+    def prob(ctx, w):
+        if ctx == -2:
+            return 1 / (vocabulary + 1)
+        (d, c), own = levels(ctx), seats[ctx]
+        n, t = sum(map(sum, own.values())), sum(map(len, own.values()))
+        return (max(sum(own[w]) - d * len(own[w]), 0) + (c + d * t) * prob(up(ctx), w)) / (c + n)
+
+    def seat(ctx, w):
+        if ctx == -2:
+            return
+        (d, c), own = levels(ctx), seats[ctx]
+        t = sum(map(len, own.values()))
+        weights = [x - d for x in own[w]] + [(c + d * t) * prob(up(ctx), w)]
+        i = rng.choices(range(len(weights)), weights)[0]
+        if i == len(own[w]):
+            own[w].append(1)
+            seat(up(ctx), w)
+        else:
+            own[w][i] += 1
+
+    def unseat(ctx, w):
+        if ctx == -2:
+            return
+        own = seats[ctx][w]
+        i = rng.choices(range(len(own)), own)[0]
+        own[i] -= 1
+        if not own[i]:
+            del own[i]
+            unseat(up(ctx), w)
+
+    for ctx, w in tokens_:
+        seat(ctx, w)
+    sums = collections.Counter()
+    for i in range(sweeps):
+        for ctx, w in tokens_:
+            unseat(ctx, w)
+            seat(ctx, w)
+        if i >= sweeps // 5:
+            for ctx, of in seats.items():
+                for w, x in of.items():
+                    sums[ctx, w] += len(x)
+    return {k: v / (sweeps - sweeps // 5) for k, v in sums.items()}
+
+
+def test_seating_is_that_of_the_textbook_sampler():
+    """Mean numbers of tables in all restaurants of a small corpus, drawn a dish at a time and a customer at a time."""
+    rng = random.Random(5)
+    words, own = 6, [pitmanyor.FIRST_OWN + i for i in range(3)]
+    contexts = pitmanyor.Contexts.of(np.arange(3, dtype=np.uint64), np.array([1, 1, 2]))
+    tokens_ = [(rng.choice([*own, 0, 2]), min(int(rng.expovariate(0.6)), words - 1)) for _ in range(160)]
+    strength = pitmanyor.Strength(own=(0.6, 2.0), shared=(0.5, 3.0), root=(0.7, 2.0))
+    want = _one_by_one(tokens_, contexts.parent, strength, words, 1500, rng)
+    counts = collections.Counter(tokens_)
+    rows = [{"w": w, "c": 1, "ctx": sorted(c for c, x in counts if x == w), "n": [counts[c, w] for c in sorted(c for c, x in counts if x == w)]} for w in range(words)]
+    batch = pa.RecordBatch.from_pydict({"w": pa.array([r["w"] for r in rows], pa.int64()), "c": pa.array([1] * words, pa.int64()), "ctx": pa.array([r["ctx"] for r in rows], pa.list_(pa.int16())), "n": pa.array([r["n"] for r in rows], pa.list_(pa.int64()))})
+    seating = pitmanyor.Seating(pitmanyor.started(batch, contexts, strength), contexts)
+    sums, root, draw = np.zeros(len(seating.t)), np.zeros(words), np.random.default_rng(3)
+    for i in range(2500):
+        seating.sweep(_totals(seating, contexts), strength, draw)
+        if i >= 500:
+            sums, root = sums + seating.t, root + seating.root
+    got = {(int(c), int(w)): x / 2000 for c, w, x in zip(seating.ctx, seating.word, sums, strict=True)} | {(-1, w): x / 2000 for w, x in enumerate(root)}
+    assert {k for k, v in want.items() if v} == {k for k, v in got.items() if v}
+    for level in (lambda c: c >= pitmanyor.FIRST_OWN, lambda c: 0 <= c < pitmanyor.FIRST_OWN, lambda c: c == -1):
+        a, b = (sum(v for (c, _), v in x.items() if level(c)) for x in (got, want))
+        assert abs(a - b) < 0.06 * b
+    assert all(abs(got[k] - want[k]) < 0.25 + 0.12 * want[k] for k in got)
+
+
+def test_seating_forgets_its_start():
+    """A word of many customers moves from one table, and from one for each customer, to the same number."""
+    contexts = pitmanyor.Contexts.of(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    n = np.array([100_000, 2000, 30])
+    batch = pa.RecordBatch.from_pydict({"w": pa.array([0, 1, 2]), "c": pa.array(n), "ctx": pa.array([[1], [1], [1]], pa.list_(pa.int16())), "n": pa.array([[int(x)] for x in n], pa.list_(pa.int64()))})
+    ends = []
+    for start in (np.ones(3, np.int64), n):
+        own = pitmanyor.Seating(pitmanyor.started(batch, contexts, pitmanyor.Strength()), contexts)
+        own.t, own.root, rng = start.copy(), np.ones(3, np.int64), np.random.default_rng(2)
+        seen = []
+        for i in range(400):
+            own.sweep(_totals(own, contexts), pitmanyor.Strength(), rng)
+            seen.append(own.t.copy())
+        ends.append(np.mean(seen[200:], axis=0))
+        assert np.std(seen[200:], axis=0)[0] > 1
+    assert np.all(np.abs(ends[0] - ends[1]) <= 0.05 * ends[1] + 1)
+
+
+def test_perplexity_does_not_hang_on_the_number_of_sweeps(docs):
+    learn, held = docs.filter("doc_id % 5 <> 0"), docs.filter("doc_id % 5 = 0").select("doc_id", "text")
+    found = [pitmanyor.perplexity(pitmanyor.score(held, pitmanyor.train(learn, burn=b, sweeps=s, seed=b))) for b, s in ((2, 2), (4, 4))]
+    assert abs(found[0] / found[1] - 1) < 0.01
 
 
 def test_scores_of_odd_rows(odd, empty):
