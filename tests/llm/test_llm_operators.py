@@ -330,7 +330,7 @@ def test_hosts_and_rules(spark):
 def test_ratio_model_is_a_markov_model(spark):
     good, bad = ["aab", "aac", "aab"], ["xyx", "xyz"]
     rows = spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "u string, __good boolean").select(urls.spelled(F.col("u")).alias("__s"), "__good")
-    model = urls.ratio_model(rows, contexts=50, least=1)
+    model = urls.ratio_model(rows, least=1)
     df = spark.createDataFrame([("aab",), ("xyz",)], "u string").select("u", urls.spelled(F.col("u")).alias("__s")).withColumn("__n", (F.length("__s") - 1).cast("double"))
     got = {r["u"]: r["score"] for r in urls.scores(df, model, "u").collect()}
 
@@ -635,6 +635,23 @@ def test_mix(docs, odd, empty):
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0 and mixing.shards(mixing.mix(empty)).count() == 0
 
 
+def test_more_sources_than_are_planned_at_once(docs, monkeypatch):
+    rows = lambda: sorted((r["doc_id"], r["mix_target"], r["mix_shards"]) for r in mixing.mix(docs, shards=8).collect())
+    want = rows()
+    monkeypatch.setattr(mixing, "PLANNED", 2)
+    assert rows() == want
+
+
+def test_names_that_clash(spark, docs):
+    """Columns named like results are replaced; others pass through."""
+    few = docs.limit(40).withColumns({"mix_size": F.lit(-1), "mix_shards": F.lit("x"), "__size": F.lit(5)})
+    got = mixing.mix(few)
+    assert sorted(got.columns) == sorted({*few.columns, *mixing.RESULTS}) and got.filter("mix_size < 0 or __size <> 5").count() == 0
+    pages = spark.createDataFrame([(1, "http://a.org/x", "keep", "mine")], "page_id long, url string, note string, __host string")
+    row = urls.judge(pages, RULES).collect()[0]
+    assert row["__host"] == "a.org" and row["note"] == "keep" and len(row) == 8
+
+
 # --- all of them
 
 

@@ -8,12 +8,15 @@ one multivariate-hypergeometric draw from the node's, so quotas stay exact and s
 whole. A shard then takes its share of each source's permuted draws, all disjoint, and its rows are
 ordered by hash.
 
-Everything about documents is DataFrame work. The driver sees block totals only: 256 numbers for each
-source, of which there may be ``MAX_SOURCES``; the plan that is sent back is bounded alike.
+Everything about documents is DataFrame work. The driver sees the words of each source, and block totals,
+256 numbers for each, of ``PLANNED`` sources at a time; the plan is broadcast where there are no more
+sources than that, and joined by source where there are.
 
 Rows: a null text has no words, a null source is a source of its own (last in order), repeated rows
 share their fate, an empty table gives an empty table. A source without words has target 0 and its
-documents are not drawn. Reruns agree: all choices follow from ``seed``, ids and sources.
+documents are not drawn. Reruns agree: all choices follow from ``seed``, ids and sources. Long texts are counted
+whole. Other columns pass through; those named like the results (``mix_size``, ``mix_source_size``,
+``mix_target``, ``mix_shards``) are replaced, and names that begin with ``__mix_`` are reserved.
 """
 
 from __future__ import annotations
@@ -24,10 +27,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.staging import staged
+from weftline.llm.staging import drop, staged
 
 BLOCKS = 256
-MAX_SOURCES = 4096
+#: Sources that are planned, and sent to every task, at once; more are planned in turns, and joined.
+PLANNED = 4096
+#: A mix has a shard for so many words, and no fewer than LEAST_SHARDS.
+SHARD_WORDS, LEAST_SHARDS = 100_000_000, 64
+RESULTS = ("mix_size", "mix_source_size", "mix_target", "mix_shards")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -72,26 +79,47 @@ def _digit(key: Column, level: int) -> Column:
     return F.shiftrightunsigned(key, 56 - 8 * level).bitwiseAND(F.lit(255)).cast("int")
 
 
-def plan(sized: DataFrame, weights: Sequence[float], cap: float, shards: int, seed: int) -> list[dict]:
+def plan(sized: DataFrame, weights: Sequence[float], cap: float, shards: int | None, seed: int) -> list[dict]:
     """For each source: words, target, the shards of each block's draws, and where the last part epoch stops.
 
-    ``sized``: __source, __size, __key. One pass for block totals, then one over the blocks in which
+    ``sized``: __source, __size, __key. One pass for the sources' words, one for block totals, then one over the blocks in which
     some epoch stops for each further byte of the key, until one document (or its repeats) is left.
     """
+    words = sized.groupBy("__source").agg(F.sum("__size").alias("words"))
+    sizes = {r["__source"]: r["words"] for r in words.collect()}
+    want = targets(sizes, weights, cap)
+    order = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    parts = -(-len(sizes) // PLANNED) or 1
+    ordered: list[dict] = []
+    for part in range(parts):
+        # So many sources at a time that the driver holds their block totals.
+        own = sized if parts == 1 else sized.filter(F.pmod(F.xxhash64("__source"), F.lit(parts)) == part)
+        ordered += _planned(own, want, order, cap, seed)
+    ordered.sort(key=lambda p: order[p["source"]])
+    shards = shards or max(LEAST_SHARDS, -(-sum(sizes.values()) // SHARD_WORDS))
+    quotas = split_quotas(np.array([len(p["draws"]) for p in ordered], np.int64), shards, seed)
+    for p, own in zip(ordered, quotas, strict=True):
+        p["shards"] = [[] for _ in range(BLOCKS)]
+        for block, shard in zip(p.pop("draws"), np.repeat(np.arange(shards), own), strict=True):
+            if block < BLOCKS:
+                p["shards"][block].append(int(shard))
+            else:
+                p["last_shard"] = int(shard)
+    return ordered
+
+
+def _planned(sized: DataFrame, want: dict, order: dict, cap: float, seed: int) -> list[dict]:
+    """The draws of each source in ``sized``, and where its last part epoch stops."""
     bins = lambda rows, level: rows.groupBy("__source", _digit(F.col("__key"), level).alias("bin")).agg(F.sum("__size").alias("words"), F.min("__key").alias("lo"), F.max("__key").alias("hi")).collect()
-    n_sources = sized.select("__source").distinct().limit(MAX_SOURCES + 1).count()
-    if n_sources > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
     blocks: dict = {}
     for r in bins(sized, 0):
         blocks.setdefault(r["__source"], {})[r["bin"]] = r
     sizes = {s: sum(r["words"] for r in b.values()) for s, b in blocks.items()}
-    want = targets(sizes, weights, cap)
     plans, open_ = {}, {}
-    for i, (s, b) in enumerate(sorted(blocks.items(), key=lambda x: (x[0] is None, x[0] or ""))):
+    for s, b in sorted(blocks.items(), key=lambda x: order[x[0]]):
         epochs = min(int(want[s] // sizes[s]), int(cap)) if sizes[s] else 0
         rest = want[s] - epochs * sizes[s] if epochs < cap and sizes[s] else 0.0
-        orders = [[int(x) for x in np.random.default_rng([seed, i, e]).permutation(BLOCKS) if int(x) in b] for e in range(epochs + 1)]
+        orders = [[int(x) for x in np.random.default_rng([seed, order[s], e]).permutation(BLOCKS) if int(x) in b] for e in range(epochs + 1)]
         whole, at = [], None
         for x in orders[epochs]:
             if b[x]["words"] > rest:
@@ -133,16 +161,7 @@ def plan(sized: DataFrame, weights: Sequence[float], cap: float, shards: int, se
             plans[s]["draws"].pop()
             plans[s]["at"] = -1
     _close(sized, plans)
-    ordered = list(plans.values())
-    quotas = split_quotas(np.array([len(p["draws"]) for p in ordered], np.int64), shards, seed)
-    for p, own in zip(ordered, quotas, strict=True):
-        p["shards"] = [[] for _ in range(BLOCKS)]
-        for block, shard in zip(p["draws"], np.repeat(np.arange(shards), own), strict=True):
-            if block < BLOCKS:
-                p["shards"][block].append(int(shard))
-            else:
-                p["last_shard"] = int(shard)
-    return ordered
+    return list(plans.values())
 
 
 def _close(sized: DataFrame, plans: dict) -> None:
@@ -150,7 +169,7 @@ def _close(sized: DataFrame, plans: dict) -> None:
     rows = [(s, [b in set(p["part"]) for b in range(BLOCKS)], p["at"], p["upto"], p["rest"]) for s, p in plans.items() if p.get("rest")]
     if not rows:
         return
-    bounded = sized.sparkSession.createDataFrame(rows, "__of string, __part array<boolean>, __at int, __upto long, __rest double")  # MAX_SOURCES rows at most
+    bounded = sized.sparkSession.createDataFrame(rows, "__of string, __part array<boolean>, __at int, __upto long, __rest double")  # PLANNED rows at most
     block = _digit(F.col("__key"), 0)
     drawn = F.when(block == F.col("__at"), ~_beyond("__key", "__upto")).otherwise(F.get("__part", block))
     free = sized.filter(F.col("__size") > 0).join(F.broadcast(bounded), F.col("__source").eqNullSafe(F.col("__of"))).filter(~drawn)
@@ -172,25 +191,31 @@ def _above(a: int, b: int | None) -> int:
     return a if b is None or a % 2**64 > b % 2**64 else b
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, shards: int = 64, seed: int = 7) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, shards: int | None = None, seed: int = 7) -> DataFrame:
     """``df`` with mix_size, mix_source_size, mix_target (words) and mix_shards, the shard of each copy that the mix takes (empty: none).
 
-    Two narrow aggregates over (source, size, key); the texts are not shuffled.
+    ``shards``: how many; by the words of the table if not given. Two narrow aggregates over (source, size, key); the texts are not shuffled.
     """
+    df = df.drop(*[c for c in RESULTS if c in df.columns and c not in (id_col, text_col, source_col)])
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(source_col))
     size = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(text_col, F.lit(WORD))).cast("long")
-    plans = plan(staged(df.select(F.col(source_col).cast("string").alias("__source"), size.alias("__size"), key.alias("__key")), "sizes"), weights, cap, shards, seed)
+    sized = staged(df.select(F.col(source_col).cast("string").alias("__source"), size.alias("__size"), key.alias("__key")), "sizes")
+    plans = plan(sized, weights, cap, shards, seed)
+    drop(sized)
     rows = [(p["source"], p["words"], p["target"], p["shards"], p["at"], p["upto"], p["last"], p["last_shard"]) for p in plans]
-    bounded = df.sparkSession.createDataFrame(rows, "__of string, __words long, __target double, __draws array<array<int>>, __at int, __upto long, __last long, __last_shard int")  # a row for each source: MAX_SOURCES at most
-    joined = df.withColumns({"__size": size, "__key": key}).join(F.broadcast(bounded), F.col(source_col).cast("string").eqNullSafe(F.col("__of")), "left")
-    block = _digit(F.col("__key"), 0)
-    own = F.get("__draws", block)
+    named = {"of": "string", "words": "long", "target": "double", "draws": "array<array<int>>", "at": "int", "upto": "long", "last": "long", "last_shard": "int"}
+    bounded = df.sparkSession.createDataFrame(rows, ", ".join(f"__mix_{k} {v}" for k, v in named.items()))  # a row for each source
+    bounded = F.broadcast(bounded) if len(rows) <= PLANNED else staged(bounded, "plan")
+    joined = df.withColumns({"__mix_size": size, "__mix_key": key}).join(bounded, F.col(source_col).cast("string").eqNullSafe(F.col("__mix_of")), "left")
+    block = _digit(F.col("__mix_key"), 0)
+    own = F.get("__mix_draws", block)
     # In the block where the part epoch stops, documents beyond the stop have one draw fewer.
-    cut = (block == F.col("__at")) & _beyond("__key", "__upto")
+    cut = (block == F.col("__mix_at")) & _beyond("__mix_key", "__mix_upto")
     drawn = F.when(cut, F.slice(own, 1, F.size(own) - 1)).otherwise(own)
-    drawn = F.when(F.col("__key") == F.col("__last"), F.array_append(drawn, F.col("__last_shard"))).otherwise(drawn)
-    taken = F.when(F.col("__size") == 0, F.slice(own, 1, 0)).otherwise(drawn)
-    return joined.select(*(df[c] for c in df.columns), F.col("__size").alias("mix_size"), F.col("__words").alias("mix_source_size"), F.col("__target").alias("mix_target"), taken.alias("mix_shards"))
+    drawn = F.when(F.col("__mix_key") == F.col("__mix_last"), F.array_append(drawn, F.col("__mix_last_shard"))).otherwise(drawn)
+    taken = F.when(F.col("__mix_size") == 0, F.slice(own, 1, 0)).otherwise(drawn)
+    results = (F.col("__mix_size"), F.col("__mix_words"), F.col("__mix_target"), taken)
+    return joined.select(*(F.col(c) for c in df.columns), *(c.alias(n) for c, n in zip(results, RESULTS, strict=True)))
 
 
 def shards(mixed: DataFrame, id_col: str = "doc_id", seed: int = 7) -> DataFrame:

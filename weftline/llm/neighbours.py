@@ -6,7 +6,9 @@ one cell in some functions: the less far the query is from the borders it crosse
 all tables are one order. All found are ranked by the exact cosine of the original vectors.
 
 How many buckets a query visits is settled by measurement: true neighbours of a bounded sample of
-queries, found by a full scan, must lie in visited buckets for at least ``recall`` of them. Equal
+queries, found by a full scan, must lie in visited buckets for at least ``recall`` of them. Where all
+possible visits would not reach that, and for queries that find fewer than ``k``, all vectors are
+compared instead, in the same blocks: hashing by no function has one bucket. Equal
 vectors are one node with its smallest ids, so groups of copies cost one row. Large buckets are split
 into blocks of bounded size on both sides; a block returns a few rows for each of its queries.
 
@@ -91,6 +93,8 @@ class Hashing:
 def perturbations(functions: int, most: int = 128) -> np.ndarray:
     """The first ``most`` sets of borders by expected cost, as rows of 0 and 1 over border ranks: shift and expand from a heap."""
     m = functions
+    if not m:
+        return np.zeros((1, 0), np.int64)
     expected = [j * (j + 1) / (4 * (m + 1) * (m + 2)) for j in range(1, m + 1)] + [1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2)) for j in range(m + 1, 2 * m + 1)]
     rows = [[0] * (2 * m)]
     heap = [(expected[0], (0,))]
@@ -121,20 +125,43 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to 1 or so: cosines stay as they are, squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of rows with rows, each summed in the same order wherever the rows stand."""
+    a, b = _scaled(a), _scaled(b)
     return (a * b).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))
 
 
+#: Rough products may be off by this much at most.
+ROUGH = 1e-9
+
+
 def best(queries: np.ndarray, vectors: np.ndarray, lead: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of the query, row of the vector, cosine: the ``k`` nearest of each query, ties to the smaller ``lead``."""
+    """Row of the query, row of the vector, cosine: the ``k`` nearest of each query, ties to the smaller ``lead``.
+
+    All vectors as near as the k-th by a rough product, or nearer, are ranked by their exact cosines.
+    """
     rough = _unit(queries) @ _unit(vectors).T
     n = min(len(vectors), 2 * k + 8)
-    some = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < len(vectors) else np.broadcast_to(np.arange(n), (len(queries), n))
+    if n < len(vectors):
+        some = np.argpartition(-rough, n - 1, axis=1)[:, :n]
+        least = -np.partition(-rough, min(k, len(vectors)) - 1, axis=1)[:, min(k, len(vectors)) - 1] - ROUGH
+        more = np.flatnonzero((rough >= least[:, None]).sum(axis=1) > n)
+    else:
+        some, more = np.broadcast_to(np.arange(n), (len(queries), n)), np.zeros(0, np.int64)
     exact = cosine(queries[:, None, :], vectors[some])
     order = np.lexsort((lead[some], -exact), axis=1)[:, :k]
-    at = np.repeat(np.arange(len(queries)), order.shape[1])
-    return at, np.take_along_axis(some, order, 1).reshape(-1), np.take_along_axis(exact, order, 1).reshape(-1)
+    found, score = np.take_along_axis(some, order, 1), np.take_along_axis(exact, order, 1)
+    for q in more:  # many are equally near, as far as the rough product tells
+        near = np.flatnonzero(rough[q] >= least[q])
+        own = cosine(queries[q][None, :], vectors[near])
+        order = np.lexsort((lead[near], -own))[:k]
+        found[q], score[q] = near[order], own[order]
+    return np.repeat(np.arange(len(queries)), found.shape[1]), found.reshape(-1), score.reshape(-1)
 
 
 def _nodes(rows: DataFrame, k: int) -> DataFrame:
@@ -186,7 +213,7 @@ def _scan(nodes: DataFrame, queries: np.ndarray, d: int, k: int) -> dict[int, li
 
 
 def enough_visits(hashing: Hashing, queries: np.ndarray, near: dict[int, list[tuple[float, bytes]]], recall: float) -> int:
-    """The least number of visits by which ``recall`` of the true neighbours lie in a visited bucket."""
+    """The least number of visits by which ``recall`` of the true neighbours lie in a visited bucket; 0 if all visits there are do not reach it."""
     table, bucket = hashing.visits(_unit(queries))
     first = []
     for q, found in near.items():
@@ -197,13 +224,14 @@ def enough_visits(hashing: Hashing, queries: np.ndarray, near: dict[int, list[tu
             for t, b in enumerate(row):
                 hit |= (table[q] == t) & (bucket[q] == b)
             first.append(int(hit.argmax()) + 1 if hit.any() else table.shape[1] + 1)
-    return int(np.quantile(first, recall, method="higher")) if first else 1
+    least = int(np.quantile(first, recall, method="higher")) if first else 1
+    return least if least <= table.shape[1] else 0
 
 
 def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, recall: float = 0.96, sample: int = 128, seed: int = 17) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest that are found for each row where ``is_query`` holds."""
     spark = df.sparkSession
-    small_batches(spark, 2048)
+    small_batches(spark)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = df.filter(usable(F.col(id_col), F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     common = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -218,18 +246,24 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     chosen = asking.orderBy(F.xxhash64("node"), "node").limit(sample).collect()
     if not chosen:
         return empty
-    hashing = Hashing.make(d, max(1, math.ceil(math.log(max(n, 1) / 4000, 3.5))) if n > 4000 else 1, seed=seed)
+    hashing = Hashing.make(d, max(1, math.ceil(math.log(max(n, 1) / 4000, 3.5))), seed=seed)
     known = np.frombuffer(b"".join(bytes(r["vector"]) for r in chosen), np.float64).reshape(-1, d)
     visits = enough_visits(hashing, known, _scan(nodes, known, d, k + 1), recall)
-    grid = _grid(spark, hashing, visits, d, nodes, asking)
-    found = staged(_blocks(grid, d, k + 1), "found").dropDuplicates(["q", "node"])
+    every = Hashing.make(d, 0, tables=1, seed=seed)
+    found = staged(_blocks(_grid(hashing if visits else every, visits or 1, d, nodes, asking), d, k + 1), "found").dropDuplicates(["q", "node"])
+    if visits:
+        # Queries that found fewer vectors than there are to find are compared with all.
+        counts = found.groupBy(F.col("q").alias("node")).agg(F.count("*").alias("n"))
+        short = staged(asking.join(counts, "node", "left").filter(F.coalesce("n", F.lit(0)) < min(k + 1, n)).select("node", "vector", "lead"), "short")
+        if not short.isEmpty():
+            found = found.unionByName(_blocks(_grid(every, 1, d, nodes, short), d, k + 1)).dropDuplicates(["q", "node"])
     byquery = asked.withColumnRenamed("node", "q").join(found, "q").join(nodes.select("node", "ids"), "node")
     hits = byquery.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _grid(spark, hashing: Hashing, visits: int, d: int, nodes: DataFrame, asking: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _grid(hashing: Hashing, visits: int, d: int, nodes: DataFrame, asking: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vectors and queries by table, bucket and block: each bucket is cut into blocks of about BLOCK vectors by BLOCK queries."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

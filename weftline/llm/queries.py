@@ -76,7 +76,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every text, learnt from those whose id's CRC is not divisible by 5."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     model = langid.train(docs.filter(~held_out), key=F.col("doc_id"))
     found = langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, score_col="score")
     return found.select("doc_id", "held_out", "lang_pred", "score")

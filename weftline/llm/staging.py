@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,9 +20,11 @@ _kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a folder of our own only where that is unset, as in tests."""
+    """The folder that ``spark.checkpoint.dir`` names; a folder of our own only where that is unset and executors are this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -75,7 +78,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hand texts to Python in batches of few rows, since one text may be very long."""
+    """Hand texts to Python in batches of few rows, since one text may be very long.
+
+    The session keeps the setting, the same for all operators: their results are lazy, and it is read when they run.
+    """
     spark.conf.set(_ARROW_ROWS, str(rows))
 
 

@@ -1,16 +1,18 @@
 """URL filters: host and path rules, and a ratio of character language models for what no rule decides.
 
 Two variable-order Markov models, of accepted and of rejected URLs, give each character a probability
-after the longest kept context before it, smoothed by what shorter contexts give (Witten-Bell). The
-kept contexts are the most frequent ones, closed under taking suffixes, ``contexts`` of them, so the
-model is bounded and can be broadcast. It is stored as one number for each context and character: by
-how much that context changes the log ratio against its suffix; the log ratio of a URL is then a plain
-sum over all kept contexts at all its places. The mean over places is compared with a threshold, set on
+after the longest kept context before it, smoothed by what shorter contexts give (Witten-Bell). All
+contexts are kept that stand ``least`` times, which their suffixes then do too. The model is stored as
+one number for each context and character: by how much that context changes the log ratio against its
+suffix; the log ratio of a URL is then a plain sum over all kept contexts at all its places. It is
+broadcast up to ``SENT_ROWS`` and joined beyond. The mean over places is compared with a threshold, set on
 labelled URLs that the models have not seen. DataFrame operations only.
 
 Rows: a null URL counts as empty. A URL without ``://`` has empty host and path and meets no rule.
 Without labelled URLs of both kinds the models say nothing and everything else is accepted. Repeated
-rows are judged alike; an empty table gives an empty table.
+rows are judged alike, a ratio at the threshold is accepted, long URLs are scored whole; an empty table
+gives an empty table. Columns named like the results (``__host``, ``__path``, ``__rule``, ``__score``,
+``__verdict``) are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters of the models: others become ``*``; digits become ``0``; ``^`` begins a URL and ``$`` ends it.
 ALPHABET = LOWER + "0./-_:?=&%#~+@,;!*$"
 ORDER = 4
+#: Rows of a model, some 30 bytes each, that are sent to every task.
+SENT_ROWS = 1_500_000
+RESULTS = ("__host", "__path", "__rule", "__score", "__verdict")
 
 
 @dataclass(frozen=True)
@@ -79,13 +84,13 @@ def _places(rows: DataFrame, *kept: str) -> DataFrame:
     return each.select(*kept, "k", F.expr("substring(__s, __i - k, k + 1)").alias("gram"))
 
 
-def ratio_model(rows: DataFrame, contexts: int = 4096, least: int = 8) -> DataFrame:
-    """key (hash of context and character) and delta, staged. ``rows``: __s, __good. At most ``contexts`` x ``len(ALPHABET)`` rows."""
+def ratio_model(rows: DataFrame, least: int = 8) -> DataFrame:
+    """key (hash of context and character) and delta, staged. ``rows``: __s, __good. ``len(ALPHABET)`` rows for each context that stands ``least`` times."""
     grams = staged(_places(rows, "__good").groupBy("k", "gram").agg(F.count_if("__good").alias("good"), F.count_if(~F.col("__good")).alias("bad")), "grams")
     split = grams.select("k", F.expr("substring(gram, 1, k)").alias("context"), F.expr("substring(gram, k + 1, 1)").alias("char"), "good", "bad")
     totals = split.groupBy("k", "context").agg(*[f for c in ("good", "bad") for f in (F.sum(c).alias(f"n_{c}"), F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))])
-    # A suffix is at least as frequent as what it ends; shorter ones go first among equals, so the kept set is closed.
-    kept = staged(totals.filter((F.col("k") == 0) | (F.col("n_good") + F.col("n_bad") >= least)).orderBy((F.col("n_good") + F.col("n_bad")).desc(), "k", "context").limit(contexts), "contexts")
+    # A suffix is at least as frequent as what it ends, so the kept set is closed.
+    kept = staged(totals.filter((F.col("k") == 0) | (F.col("n_good") + F.col("n_bad") >= least)), "contexts")
     every = kept.select("*", F.explode(F.split(F.lit(ALPHABET), "")).alias("char")).filter("char != ''").join(split.select("k", "context", "char", "good", "bad"), ["k", "context", "char"], "left").na.fill(0, ["good", "bad"])
     every = staged(every, "table")
     smooth = lambda c, below: (F.col(c) + F.col(f"kinds_{c}") * below) / (F.col(f"n_{c}") + F.col(f"kinds_{c}"))
@@ -106,7 +111,8 @@ def ratio_model(rows: DataFrame, contexts: int = 4096, least: int = 8) -> DataFr
 def scores(rows: DataFrame, model: DataFrame, key: str) -> DataFrame:
     """``key`` and score, the mean log ratio over the places of ``__s``. The URLs stay in place until they are one row each."""
     places = _places(rows, key, "__n").select(key, "__n", F.xxhash64("gram").alias("key"))
-    return places.join(F.broadcast(model), "key").groupBy(key, "__n").agg((F.sum("delta") / F.col("__n")).alias("score"))
+    model = F.broadcast(model) if model.count() <= SENT_ROWS else model
+    return places.join(model, "key").groupBy(key, "__n").agg((F.sum("delta") / F.col("__n")).alias("score"))
 
 
 def threshold(scored: DataFrame, step: float = 0.01) -> float:
@@ -126,18 +132,22 @@ def threshold(scored: DataFrame, step: float = 0.01) -> float:
     return at
 
 
-def judge(df: DataFrame, rules: Sequence[Rule], url_col: str = "url", contexts: int = 4096) -> DataFrame:
+def judge(df: DataFrame, rules: Sequence[Rule], url_col: str = "url", least: int = 8) -> DataFrame:
     """``df`` with __host, __path, __rule, __score and __verdict (allow or block).
 
     URLs on which rules decide train the models, four fifths of them, and set the threshold, the rest.
     Distinct URLs are scored once; hot URLs are one row.
     """
+    df = df.drop(*[c for c in RESULTS if c in df.columns and c != url_col])
     url = F.coalesce(F.col(url_col), F.lit(""))
     known = df.withColumns({"__host": host(url), "__path": path(url)}).withColumn("__rule", longest_rule(rules, F.col("__host"), F.col("__path")))
     says = F.create_map(*[x for r in rules for x in (F.lit(r.text), F.lit(r.verdict))]) if rules else F.create_map(F.lit(""), F.lit(""))
-    distinct = staged(known.select(url.alias("__url"), "__rule").distinct().select("__url", spelled(F.col("__url")).alias("__s"), says[F.col("__rule")].eqNullSafe("allow").alias("__good"), F.col("__rule").isNotNull().alias("__known"), (F.pmod(F.xxhash64("__url"), F.lit(5)) == 0).alias("__apart")), "urls")
-    distinct = distinct.withColumn("__n", (F.length("__s") - 1).cast("double"))
-    model = ratio_model(distinct.filter("__known and not __apart").select("__s", "__good"), contexts)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = known.select(url.alias("__url"), "__rule").distinct().repartition(tasks, "__url")
+    distinct = staged(found.select("__url", spelled(F.col("__url")).alias("__s"), says[F.col("__rule")].eqNullSafe("allow").alias("__good"), F.col("__rule").isNotNull().alias("__known"), (F.pmod(F.xxhash64("__url"), F.lit(5)) == 0).alias("__apart")), "urls")
+    # Few and short as URLs may be, their characters in all contexts are many: they are dealt to all tasks.
+    distinct = distinct.repartition(tasks, "__url").withColumn("__n", (F.length("__s") - 1).cast("double"))
+    model = ratio_model(distinct.filter("__known and not __apart").select("__s", "__good"), least)
     scored = staged(scores(distinct, model, "__url").join(distinct.select("__url", "__good", "__known", "__apart"), "__url", "right").select("__url", "__good", "__known", "__apart", F.coalesce("score", F.lit(0.0)).alias("score")), "scores")
     at = threshold(scored.filter("__known and __apart"))
     out = known.withColumn("__url", url).join(scored.select("__url", F.col("score").alias("__score")), "__url", "left")

@@ -2,13 +2,15 @@
 
 Rows become WARC/1.1 records: a response, or a revisit that refers to the response with the same
 payload. Records are dealt to archives by hash; each archive trains a Zstandard dictionary on an evenly
-spaced, bounded sample of its own records, embeds it in a leading skippable frame, and compresses each
+spaced sample of its own records (SAMPLE_BYTES, of each record its first RECORD_BYTES; where they are too
+few or too alike to train on, the sample itself is the dictionary), embeds it in a leading skippable frame, and compresses each
 record as a frame of its own, so any record can be read alone and lost frames harm no others. Archives
 are written under an attempt's own name and renamed, so a task that runs again leaves one whole file;
 only files that the manifest names are read back.
 
 Rows: a null payload counts as empty, a null id is written as an empty one and read back as null. Rows
-that repeat id and payload are as many records. An empty table gives no archive.
+that repeat id and payload are as many records; of equal ids that hold the largest, all are responses.
+Other columns take no part. An empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from weftline.llm.staging import new_path, small_batches, staged
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 DICTIONARY_BYTES = 64 << 10
-SAMPLE_BYTES = 4 << 20
+SAMPLE_BYTES, RECORD_BYTES = 4 << 20, 128 << 10
 ARCHIVE_BYTES = 48 << 20
 DATE = "2024-01-01T00:00:00Z"
 
@@ -41,18 +43,27 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(kind: str, key: str, sha1: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{key}:{sha1}')}>"
+
+
+def header_uri(url: str) -> str:
+    """A URI that may stand in a header: white space and unprintable characters as %XX of their UTF-8 bytes."""
+    return "".join(c if c.isprintable() and not c.isspace() else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url)
+
+
 def record(kind: str, key: str, url: str, payload: bytes, sha1: str, refers_to: str | None) -> bytes:
     """One WARC record. A revisit has no payload, only its digest and length."""
     body = b"" if kind == "revisit" else payload
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{key}:{sha1}')}>"),
+        ("WARC-Record-ID", record_id(kind, key, sha1)),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", "".join(c for c in url if c.isprintable())),
+        ("WARC-Target-URI", header_uri(url)),
         ("WARC-Payload-Digest", f"sha1:{sha1}"),
         ("X-Row-Id", key),
         ("X-Payload-Length", str(len(payload))),
-        *([("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Row-Id", refers_to or "")] if kind == "revisit" else []),
+        *([("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id("response", refers_to or "", sha1)), ("X-Refers-To-Row-Id", refers_to or "")] if kind == "revisit" else []),
         ("Content-Type", "text/html"),
         ("Content-Length", str(len(body))),
     ]
@@ -77,17 +88,15 @@ def archive(records: list[bytes], level: int = 3) -> bytes:
     import zstandard
 
     every = max(1, sum(map(len, records)) // SAMPLE_BYTES)
-    sample = [r[: 128 << 10] for r in records[::every]]
-    dictionary = None
-    if len(sample) >= 8:
-        try:
-            dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, sample)) // 8)), sample)
-        except zstandard.ZstdError:  # too little to learn from
-            dictionary = None
+    sample = [r[:RECORD_BYTES] for r in records[::every]]
+    try:
+        dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, sample)) // 8)), sample)
+    except zstandard.ZstdError:  # too little to learn from
+        dictionary = zstandard.ZstdCompressionDict(b"".join(sample)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     out = io.BytesIO()
-    own = zstandard.ZstdCompressor(level=6).compress(dictionary.as_bytes()) if dictionary else b""
+    own = zstandard.ZstdCompressor(level=6).compress(dictionary.as_bytes())
     out.write(struct.pack("<II", DICTIONARY_MAGIC, len(own)) + own)
-    coder = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_checksum=True, write_content_size=True) if dictionary else zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
+    coder = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_checksum=True, write_content_size=True)
     for r in records:
         out.write(coder.compress(r))
     return out.getvalue()
@@ -103,7 +112,7 @@ def opened(data: bytes) -> Iterator[bytes]:
     own = data[8 : 8 + size]
     if own.startswith(FRAME_MAGIC):
         own = zstandard.ZstdDecompressor().decompress(own)
-    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(own)) if own else zstandard.ZstdDecompressor()
+    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(own))
     rest = memoryview(data)[8 + size :]
     while rest:
         one = reader.decompressobj()
