@@ -273,7 +273,7 @@ def test_components_are_those_of_all_candidates(spark, monkeypatch, width):
         else:
             sets.append({rng.randrange(10**6) for _ in range(12)})
     # One bucket for all, one for a third, one for pairs; bands are what the first numbers of a set are not.
-    rows = [(i, [1, i % 3, 1000 + i // 2], 12, sorted(x)) for i, x in enumerate(sets)]
+    rows = [(i, [1, 10 + i % 3, 1000 + i // 2], 12, sorted(x)) for i, x in enumerate(sets)]
     df = spark.createDataFrame(rows, "node long, bands array<long>, weight int, items array<long>").cache()
     payload = lambda some: staged(df.join(some, "node").select("node", "bands", "items"), "payload")
     got = {r["node"]: r["root"] for r in components.linked(df.drop("items"), payload, lambda a, b: components.similar(a, b, 0.8)).collect()}

@@ -65,22 +65,22 @@ def roots(edges: DataFrame) -> DataFrame:
 
 
 def _buckets(items: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Pairs (a, b) that are all of a bucket, and members (band, key, n, weight, node) of larger buckets, both staged; None without any.
+    """Pairs (a, b) that are all of a bucket, and members (key, n, all_weight, node, weight) of larger buckets, both staged; None without any.
 
-    Buckets that hold the same members as one of an earlier band are left out.
+    Of buckets that hold the same members one is kept.
     """
-    keys = items.select("node", "weight", F.posexplode("bands").alias("band", "key"))
-    counted = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
+    keys = items.select("node", "weight", F.explode("bands").alias("key"))
+    counted = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
     buckets = staged(counted.filter("n > 1"), "buckets")
     if buckets.isEmpty():
         drop(buckets)
         return None
-    large = buckets.filter("n > 2").select("band", "key")
+    large = buckets.filter("n > 2").select("key")
     large = F.broadcast(large) if large.count() <= SENT_KEYS else large
-    every = staged(keys.join(large, ["band", "key"]), "members")
-    shape = every.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"), F.sum("weight").alias("weight"))
-    first = shape.groupBy("n", "who").agg(F.min(F.struct("band", "key", "weight")).alias("x")).select("x.band", "x.key", "n", F.col("x.weight").alias("all_weight"))
-    members = staged(every.join(first, ["band", "key"]).select("band", "key", "n", "all_weight", "node", "weight"), "members")
+    every = staged(keys.join(large, "key"), "members")
+    shape = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"), F.sum("weight").alias("weight"))
+    first = shape.groupBy("n", "who").agg(F.min(F.struct("key", "weight")).alias("x")).select("x.key", "n", F.col("x.weight").alias("all_weight"))
+    members = staged(every.join(first, "key").select("key", "n", "all_weight", "node", "weight"), "members")
     two = staged(buckets.filter("n = 2").select("a", "b").distinct(), "pairs")
     drop(buckets, every)
     return two, members
@@ -89,18 +89,18 @@ def _buckets(items: DataFrame) -> tuple[DataFrame, DataFrame] | None:
 def _stars(members: DataFrame) -> DataFrame:
     """Each member with its bucket's hub: in small buckets the least node, in others the member that meets most others, which copies may have been made from."""
     met = members.filter(F.col("n") > SLICE).groupBy("node").agg(F.sum("n").alias("met"))
-    ranked = members.join(met, "node", "left").select("band", "key", "node", F.struct(F.coalesce("met", F.lit(0)).alias("met"), (-F.col("node")).alias("less")).alias("r"))
-    hubs = ranked.groupBy("band", "key").agg((-F.max("r")["less"]).alias("hub"))
-    joined = members.join(hubs, ["band", "key"]).filter("node != hub")
+    ranked = members.join(met, "node", "left").select("key", "node", F.struct(F.coalesce("met", F.lit(0)).alias("met"), (-F.col("node")).alias("less")).alias("r"))
+    hubs = ranked.groupBy("key").agg((-F.max("r")["less"]).alias("hub"))
+    joined = members.join(hubs, "key").filter("node != hub")
     return joined.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
 
 
 def _seeking(open_: DataFrame, found: DataFrame) -> DataFrame:
     """Of buckets with members outside the anchor's component: how many (r), their weight (rw), and the anchor's component (main)."""
     own = open_.join(found, "node")
-    by_root = own.groupBy("band", "key", "root").agg(F.count("*").alias("c"), F.sum("weight").alias("w"), F.bool_or(F.col("node") == F.col("anchor")).alias("main"))
+    by_root = own.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("weight").alias("w"), F.bool_or(F.col("node") == F.col("anchor")).alias("main"))
     apart = lambda c: F.sum(F.when(~F.col("main"), F.col(c)).otherwise(0))
-    return by_root.groupBy("band", "key").agg(apart("c").alias("r"), apart("w").alias("rw"), F.max(F.when(F.col("main"), F.col("root"))).alias("main")).filter("r > 0")
+    return by_root.groupBy("key").agg(apart("c").alias("r"), apart("w").alias("rw"), F.max(F.when(F.col("main"), F.col("root"))).alias("main")).filter("r > 0")
 
 
 def _blocks(own: DataFrame, least: int, most: int) -> DataFrame:
@@ -122,22 +122,22 @@ def _blocks(own: DataFrame, least: int, most: int) -> DataFrame:
     seeker = F.transform(every("mb"), lambda m: F.struct(dealt("sb").alias("s"), m.alias("m"), F.lit(True).alias("left")))
     other = F.transform(every("sb"), lambda s: F.struct(s.alias("s"), dealt("mb").alias("m"), F.lit(False).alias("left")))
     at = F.concat(F.when(F.col("seeks"), seeker).otherwise(none), F.when(F.col("met"), other).otherwise(none))
-    return own.select("band", "key", "node", "root", "seeks", "met", F.explode(at).alias("at"))
+    return own.select("key", "node", "root", "seeks", "met", F.explode(at).alias("at"))
 
 
 def _wave(dealt: DataFrame, held: DataFrame, near: Callable, prepare: Callable) -> DataFrame:
     """Links (a, b) between components, by comparing blocks."""
     row = F.struct("node", "root", "seeks", "met", "bands", "items")
     side = lambda left: F.collect_list(F.when(F.col("at.left") == left, row))
-    block = dealt.join(held, "node").groupBy("band", "key", "at.s", "at.m").agg(side(True).alias("xs"), side(False).alias("ys"))
+    block = dealt.join(held, "node").groupBy("key", "at.s", "at.m").agg(side(True).alias("xs"), side(False).alias("ys"))
     ready = lambda ms: F.transform(ms, lambda m: F.struct(m["node"].alias("node"), m["root"].alias("root"), m["seeks"].alias("seeks"), m["met"].alias("met"), m["bands"].alias("bands"), prepare(m["items"]).alias("items")))
-    block = block.filter((F.size("xs") > 0) & (F.size("ys") > 0)).select("band", ready(F.col("xs")).alias("xs"), ready(F.col("ys")).alias("ys"))
+    block = block.filter((F.size("xs") > 0) & (F.size("ys") > 0)).select("key", ready(F.col("xs")).alias("xs"), ready(F.col("ys")).alias("ys"))
 
     def linked_to(x: Column) -> Column:
-        """Components of ``ys`` that ``x`` is linked to. A pair counts in the first band that it shares, and once if both seek and both are met."""
+        """Components of ``ys`` that ``x`` is linked to. A pair counts in one of the buckets that it shares, and once if both seek and both are met."""
 
         def hit(y: Column) -> Column:
-            first = F.array_position(F.zip_with(x["bands"], y["bands"], lambda p, q: p == q), True) == F.col("band") + 1
+            first = F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("key")
             again = y["seeks"] & x["met"] & (x["node"] > y["node"])
             return (y["root"] != x["root"]) & ~again & first & near(x["items"], y["items"])
 
@@ -149,7 +149,7 @@ def _wave(dealt: DataFrame, held: DataFrame, near: Callable, prepare: Callable)
 def linked(items: DataFrame, payload_of: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], prepare: Callable[[Column], Column] = lambda x: x) -> DataFrame | None:
     """(node, root), staged, of all nodes that share a bucket with another: root names the component of links; None without any.
 
-    ``items``: node (unique long), bands (array of long keys, as many for each) and weight (what the node's payload takes
+    ``items``: node (unique long), bands (array of long keys, different ones for different bands) and weight (what the node's payload takes
     to hold). ``payload_of`` gets nodes (node) and gives node, bands and items for each, staged. Two nodes that share a band are
     linked where ``near`` holds for what ``prepare`` makes of their items.
     """
@@ -170,9 +170,9 @@ def linked(items: DataFrame, payload_of: Callable[[DataFrame], DataFrame], near:
     found = staged(held.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "components")
     drop(links, joined)
     # Buckets in several components, each with a member of its largest one as anchor; the others are done.
-    by_root = members.join(found, "node").groupBy("band", "key", "root").agg(F.count("*").alias("c"), F.min("node").alias("rep"))
-    mixed = by_root.groupBy("band", "key").agg(F.max(F.struct("c", "rep"))["rep"].alias("anchor"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-    open_ = staged(members.join(mixed, ["band", "key"]), "members")
+    by_root = members.join(found, "node").groupBy("key", "root").agg(F.count("*").alias("c"), F.min("node").alias("rep"))
+    mixed = by_root.groupBy("key").agg(F.max(F.struct("c", "rep"))["rep"].alias("anchor"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    open_ = staged(members.join(mixed, "key"), "members")
     drop(members)
     largest = open_.agg(F.max("n")).first()[0] or 0
     least, most = 0, SLICE
@@ -182,7 +182,7 @@ def linked(items: DataFrame, payload_of: Callable[[DataFrame], DataFrame], near:
         if seeking.isEmpty():
             drop(seeking)
             break
-        dealt = staged(_blocks(some.join(found, "node").join(seeking, ["band", "key"]), least, most), "blocks")
+        dealt = staged(_blocks(some.join(found, "node").join(seeking, "key"), least, most), "blocks")
         more = staged(_wave(dealt, held, near, prepare), "links")
         drop(seeking, dealt)
         if not more.isEmpty():
