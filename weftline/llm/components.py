@@ -28,6 +28,7 @@ from weftline.llm.staging import drop, staged
 SLICE, GROWTH = 16, 4
 #: The most members of a block, and the most weight that they have together.
 BLOCK, WEIGHT = 256, 1 << 20
+OPEN = ("key", "n", "all_weight", "node", "weight", "anchor", "root")
 #: Keys of large buckets are sent to all tasks up to this number (some 40 bytes each), else joined.
 SENT_KEYS = 500_000
 #: Lets Spark skip, by a Bloom filter of at most 8 MB, rows without a partner before they are shuffled.
@@ -95,9 +96,8 @@ def _stars(members: DataFrame) -> DataFrame:
     return joined.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
 
 
-def _seeking(open_: DataFrame, found: DataFrame) -> DataFrame:
+def _seeking(own: DataFrame) -> DataFrame:
     """Of buckets with members outside the anchor's component: how many (r), their weight (rw), and the anchor's component (main)."""
-    own = open_.join(found, "node")
     by_root = own.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("weight").alias("w"), F.bool_or(F.col("node") == F.col("anchor")).alias("main"))
     apart = lambda c: F.sum(F.when(~F.col("main"), F.col(c)).otherwise(0))
     return by_root.groupBy("key").agg(apart("c").alias("r"), apart("w").alias("rw"), F.max(F.when(F.col("main"), F.col("root"))).alias("main")).filter("r > 0")
@@ -170,29 +170,34 @@ def linked(items: DataFrame, payload_of: Callable[[DataFrame], DataFrame], near:
     found = staged(held.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "components")
     drop(links, joined)
     # Buckets in several components, each with a member of its largest one as anchor; the others are done.
-    by_root = members.join(found, "node").groupBy("key", "root").agg(F.count("*").alias("c"), F.min("node").alias("rep"))
-    mixed = by_root.groupBy("key").agg(F.max(F.struct("c", "rep"))["rep"].alias("anchor"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-    open_ = staged(members.join(mixed, "key"), "members")
+    own = staged(members.join(found, "node"), "members")
     drop(members)
-    largest = open_.agg(F.max("n")).first()[0] or 0
+    by_root = own.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("node").alias("rep"))
+    mixed = by_root.groupBy("key").agg(F.max(F.struct("c", "rep"))["rep"].alias("anchor"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    open_ = staged(own.join(mixed, "key"), "members")
+    drop(own)
     least, most = 0, SLICE
-    while least < largest:
-        some = open_.filter(F.col("n") > least)
-        seeking = staged(_seeking(some, found), "seeking")
+    while True:
+        seeking = staged(_seeking(open_.filter(F.col("n") > least)), "seeking")
         if seeking.isEmpty():
-            drop(seeking)
             break
-        dealt = staged(_blocks(some.join(found, "node").join(seeking, "key"), least, most), "blocks")
+        still = staged(open_.select(*OPEN).join(seeking, "key"), "members")
+        drop(open_)
+        dealt = staged(_blocks(still, least, most), "blocks")
         more = staged(_wave(dealt, held, near, prepare), "links")
         drop(seeking, dealt)
-        if not more.isEmpty():
+        if more.isEmpty():
+            open_ = still
+        else:
             merged = roots(more)
             to = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
-            was, found = found, staged(found.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "components")
-            drop(was, merged)
+            latest = F.coalesce("to", "root").alias("root")
+            open_ = staged(still.select(*OPEN).join(to, "root", "left").select(*[latest if c == "root" else c for c in OPEN]), "members")
+            was, found = found, staged(found.join(to, "root", "left").select("node", latest), "components")
+            drop(was, still, merged)
         drop(more)
         least, most = most, most * (1 + GROWTH)
-    drop(open_, held)
+    drop(seeking, open_, held)
     return found
 
 
