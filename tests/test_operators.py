@@ -174,3 +174,29 @@ def test_fault_injection_is_repeatable(spark):
 
 def test_profiles():
     assert settings("v1")["spark.sql.shuffle.partitions"] == "200" and settings("v2")["spark.sql.shuffle.partitions"] == "8"
+
+
+@pytest.mark.parametrize("few", [1_000_000, 40])
+def test_quantiles_are_exact(spark, few):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=700), np.full(300, 0.25), [5.0, -5.0]])
+    df = spark.createDataFrame([(float(v), None) for v in x] + [(None, None)], "x double, y double")
+    got = stats.quantiles(df, {"x": [0.0, 0.013, 0.25, 0.5, 0.77, 1.0], "y": [0.5]}, few)
+    assert np.allclose(got["x"], np.quantile(x, [0.0, 0.013, 0.25, 0.5, 0.77, 1.0])) and got["y"] == [None]
+    assert stats.quantiles(df.limit(0), {"x": [0.5]}) == {"x": [None]}
+
+
+def test_a_swap_that_breaks_off_leaves_a_whole_table(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    assert not sinks.exists(spark, path)
+    sinks.swapped(spark, spark.range(3), path)
+    sinks.swapped(spark, spark.read.parquet(path).union(spark.range(1)), path)
+    assert spark.read.parquet(path).count() == 4
+    sinks.broken_swap(spark, path)
+    assert sinks.exists(spark, path) and spark.read.parquet(path).count() == 4
+
+
+def test_gain_and_windows(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 60), (0.0, 2.0, 0), (4.0, None, 12001), (2.0, 1.0, 12000)], "a double, b double, s long")
+    got = df.select(scalars.gain(F.col("a"), F.col("b")).alias("up"), scalars.gain(F.col("a"), F.col("b"), False).alias("down"), cleaning.within_minutes(F.col("s")).alias("w"), cleaning.nonzero(["a", "b"]).alias("n")).collect()
+    assert [tuple(r) for r in got] == [(100.0, -50.0, True, True), (None, None, False, False), (None, None, False, False), (-50.0, 100.0, True, True)]

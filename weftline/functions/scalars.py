@@ -94,3 +94,9 @@ def list_count(items: Column) -> Column:
 def padded(values: Column, length: Column, pad: str) -> Column:
     """An array cut or padded to a length."""
     return F.slice(F.concat(values, F.transform(F.sequence(F.lit(1), F.greatest(length, F.lit(1))), lambda _: F.lit(pad))), F.lit(1), length)
+
+
+def gain(before: Column, after: Column, higher: bool = True) -> Column:
+    """Percent by which ``after`` is better than ``before``, more being better or (not ``higher``) less; null where either is 0 or unknown."""
+    a, b = (before, after) if higher else (after, before)
+    return F.when((before != 0) & (after != 0), (b / a - 1) * 100)

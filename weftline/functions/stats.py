@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,13 +14,56 @@ def five_numbers(value: str) -> list[Column]:
     return [F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.median(value), 4).alias("median"), F.min(value).alias("min"), F.max(value).alias("max")]
 
 
-def describe(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = (0.25, 0.5, 0.75), digits: int = 4) -> DataFrame:
-    """A row for each column: count, mean, sample deviation, min, exact quantiles, max. One pass."""
-    names = ["n", "mean", "std", "min", *(f"p{round(q * 100):02d}" for q in quantiles), "max"]
+#: Relative accuracy of the first pass over quantiles, and the values among which one is looked for exactly.
+ACCURACY, FEW_VALUES = 10_000, 1_000_000
+
+
+def _by_rank(df: DataFrame, wanted: Sequence[tuple[str, int, int]], few: int = FEW_VALUES) -> list[float]:
+    """For each (column, rank from 0, values in all) the value of that rank: brackets by approximate quantiles, then counts, then what lies inside.
+
+    Three passes of partial aggregates, whatever the number of columns and ranks; brackets that hold more than ``few`` values are looked into again.
+    """
+    share = lambda n, r: [max(0.0, r / max(n - 1, 1) - 2 / ACCURACY), min(1.0, r / max(n - 1, 1) + 2 / ACCURACY)]
+    x = [F.col(c).cast("double") for c, _, _ in wanted]
+    ends = df.agg(*[F.percentile_approx(v, F.array(*map(F.lit, share(n, r))), ACCURACY).alias(f"e{i}") for i, (v, (_, r, n)) in enumerate(zip(x, wanted, strict=True))]).first()
+    inside = [v.between(ends[f"e{i}"][0], ends[f"e{i}"][1]) for i, v in enumerate(x)]
+    counts = df.agg(*[f for i, v in enumerate(x) for f in (F.count_if(v < ends[f"e{i}"][0]).alias(f"b{i}"), F.count_if(inside[i]).alias(f"n{i}"))]).first()
+    at = [r - counts[f"b{i}"] for i, (_, r, _) in enumerate(wanted)]
+    many = [i for i in range(len(wanted)) if few < counts[f"n{i}"] < wanted[i][2]]
+    exact = [i for i in range(len(wanted)) if i not in many]
+    out: dict[int, float] = {}
+    if exact:
+        place = lambda i: at[i] / max(counts[f"n{i}"] - 1, 1)
+        found = df.agg(*[F.percentile(F.when(inside[i], x[i]), place(i)).alias(f"v{i}") for i in exact]).first()
+        out = {i: found[f"v{i}"] for i in exact}
+    for i in many:
+        out[i] = _by_rank(df.filter(inside[i]), [(wanted[i][0], at[i], counts[f"n{i}"])], few)[0]
+    return [out[i] for i in range(len(wanted))]
+
+
+def quantiles(df: DataFrame, probabilities: dict[str, Sequence[float]], few: int = FEW_VALUES) -> dict[str, list[float | None]]:
+    """Exact quantiles of columns, between ranks on a straight line; None without values. No task holds the values of a column."""
+    n = df.agg(*[F.count(c).alias(c) for c in probabilities]).first()
+    ranks = [(c, r, n[c]) for c, ps in probabilities.items() if n[c] for p in ps for r in (math.floor(p * (n[c] - 1)), math.ceil(p * (n[c] - 1)))]
+    values = iter(_by_rank(df, ranks, few) if ranks else [])
+    out: dict[str, list[float | None]] = {}
+    for c, ps in probabilities.items():
+        out[c] = []
+        for p in ps:
+            low, high = (next(values), next(values)) if n[c] else (None, None)
+            at = p * (n[c] - 1)
+            out[c].append(low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
+    return out
+
+
+def describe(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.25, 0.5, 0.75), digits: int = 4) -> DataFrame:
+    """A row for each column: count, mean, sample deviation, min, exact quantiles, max."""
+    names = ["n", "mean", "std", "min", *(f"p{round(q * 100):02d}" for q in probabilities), "max"]
+    own = quantiles(df, {c: probabilities for c in columns})
     parts = []
     for c in columns:
         x = F.col(c).cast("double")
-        numbers = [F.count(x).cast("double"), F.avg(x), F.stddev_samp(x), F.min(x), *(F.percentile(x, q) for q in quantiles), F.max(x)]
+        numbers = [F.count(x).cast("double"), F.avg(x), F.stddev_samp(x), F.min(x), *(F.lit(q).cast("double") for q in own[c]), F.max(x)]
         parts.append(F.struct(F.lit(c).alias("column"), *[F.round(v, digits).alias(n) for v, n in zip(numbers, names, strict=True)]))
     return df.agg(F.array(*parts).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
@@ -44,7 +88,8 @@ def skewness(value: str) -> Column:
 
 def fences(df: DataFrame, value: str, width: float = 1.5) -> DataFrame:
     """One row: q1, q3, low, high."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q1, q3 = quantiles(df, {value: (0.25, 0.75)})[value]
+    q = df.sparkSession.createDataFrame([(q1, q3)], "q1 double, q3 double")
     return q.select("q1", "q3", (F.col("q1") - width * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + width * (F.col("q3") - F.col("q1"))).alias("high"))
 
 

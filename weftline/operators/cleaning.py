@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,8 +55,9 @@ def stratified(df: DataFrame, strata: Sequence[str], fraction: float, key: str,
 
 
 def hash_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by a hash of ``key``."""
-    low = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000)) < int(share * 10_000)
+    """Train and test rows by a checksum of ``seed`` and ``key``."""
+    text = F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"))
+    low = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 10_000 < int(share * 10_000)
     return df.filter(low), df.filter(~low)
 
 
@@ -80,9 +82,20 @@ def outlier_rules(passengers="passenger_count", rate="RatecodeID", payment="paym
         "total": col(total) >= col(fare),
         "tip": F.try_divide(col(tip), col(fare)) <= 1.5,
         "fare": col(fare) <= 500,
+        "travelled": col(distance) > 0,
     }
 
 
+def nonzero(columns: Sequence[str]) -> Column:
+    """Whether all of these are there and not 0."""
+    return reduce(lambda a, b: a & b, (F.coalesce(F.col(c) != 0, F.lit(False)) for c in columns))
+
+
+def within_minutes(seconds: Column, most: float = 200.0) -> Column:
+    """Durations above 0 and up to ``most`` minutes."""
+    return F.coalesce((seconds > 0) & (seconds <= most * 60), F.lit(False))
+
+
 def merged_columns(df: DataFrame, first: str, second: str) -> DataFrame:
     """Two spellings of one column as one: the first, where null the second."""
     return df.select(*[F.coalesce(df[first], df[second]).alias(first) if c == first else df[c] for c in df.columns if c != second])

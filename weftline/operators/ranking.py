@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import cut, ladder
-from weftline.functions.stats import with_scalars
+from weftline.functions.stats import quantiles, with_scalars
 
 #: Tiers by percent of the total, market-value segments and their edges.
 SHARE_TIERS = [(20, "Tier 1 (High)"), (10, "Tier 2 (Medium)")]
@@ -42,17 +42,17 @@ def ranked(df: DataFrame, value: str, tie: str) -> DataFrame:
 def quantile_cut(df: DataFrame, value: str, labels: Sequence[str], name: str) -> DataFrame:
     """Bins between exact quantiles, right-closed, the lowest included; all in the first bin if there are fewer distinct values than bins."""
     n = len(labels)
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("__edges"), F.count_distinct(value).alias("__distinct"))
-    tests = [(F.col(value) <= F.col("__edges")[i], F.lit(label)) for i, label in enumerate(labels[:-1])]
+    edges = quantiles(df, {value: [i / n for i in range(1, n)]})[value]
+    distinct = df.select(value).filter(F.col(value).isNotNull()).distinct().limit(n).count()
+    tests = [(F.col(value) <= F.lit(edges[i]).cast("double"), F.lit(label)) for i, label in enumerate(labels[:-1])]
     bin_ = reduce(lambda w, t: w.when(*t), tests[1:], F.when(*tests[0])).otherwise(F.lit(labels[-1]))
-    own = F.when(F.col(value).isNotNull(), F.when(F.col("__distinct") < n, F.lit(labels[0])).otherwise(bin_))
-    return with_scalars(df, edges).withColumn(name, own).drop("__edges", "__distinct")
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.lit(labels[0]) if distinct < n else bin_))
 
 
 def classes(df: DataFrame, value: str, name: str, low: float = 0.33, high: float = 0.66) -> DataFrame:
     """Small up to the ``low`` quantile, Medium up to ``high``, else Large."""
-    edges = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__e"))
-    return with_scalars(df, edges).withColumn(name, F.when(F.col(value) <= F.col("__e")[0], "Small").when(F.col(value) <= F.col("__e")[1], "Medium").otherwise("Large")).drop("__e")
+    edges = [F.lit(e).cast("double") for e in quantiles(df, {value: (low, high)})[value]]
+    return df.withColumn(name, F.when(F.col(value) <= edges[0], "Small").when(F.col(value) <= edges[1], "Medium").otherwise("Large"))
 
 
 def share_tier(share: Column) -> Column:

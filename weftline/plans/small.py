@@ -131,12 +131,15 @@ def ratios(spark: SparkSession, folder: str) -> DataFrame:
     return trips(spark, folder).select("trip_key", F.round(scalars.percent(c("tip"), c("fare")), 4).alias("tip_percent"), F.round(scalars.guarded_ratio(c("tip"), c("fare")), 6).alias("tip_pct"), F.round(mile, 4).alias("fare_per_mile"), F.round(scalars.ratio(mile, c("passengers")), 4).alias("per_passenger"), F.round(F.log1p("fare"), 6).alias("log_fare"), F.round(F.sqrt(F.abs(c("fare") - 1000)), 6).alias("root"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(w, '\\p{Lu}', 'X', 'g'), '\\p{Ll}', 'x', 'g') AS shape, length(w) AS len, regexp_matches(w, '^[0-9]+$') AS is_digit, contains(w, '-') AS hyphen, lower(w) AS low
-  FROM (SELECT doc_id, split_part(text, ' ', 1) AS w FROM documents)""")
+@query("""SELECT shape, len, is_digit, hyphen, low, is_title, is_upper, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(w, '\\p{Lu}', 'X', 'g'), '\\p{Ll}', 'x', 'g') AS shape, length(w) AS len,
+  regexp_matches(w, '^[0-9]+$') AS is_digit, contains(w, '-') AS hyphen, lower(w) AS low, regexp_full_match(w, '[^\\p{Ll}]*\\p{Lu}[^\\p{Lu}]*') AS is_title, regexp_matches(w, '\\p{Lu}') AND NOT regexp_matches(w, '\\p{Ll}') AS is_upper
+  FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents)) GROUP BY ALL""")
 def token_shapes(spark: SparkSession, folder: str) -> DataFrame:
-    """Shape and classes of each text's first token."""
-    w = F.split_part("text", F.lit(" "), F.lit(1))
-    return table(spark, folder, "documents").select("doc_id", w.alias("w")).select("doc_id", scalars.word_shape(F.col("w")).alias("shape"), F.length("w").cast("long").alias("len"), F.col("w").rlike("^[0-9]+$").alias("is_digit"), F.col("w").contains("-").alias("hyphen"), F.lower("w").alias("low"))
+    """Shapes and classes of all tokens of whole texts, with how often they stand."""
+    w = F.col("w")
+    tokens = table(spark, folder, "documents").select(F.explode(F.split("text", " ")).alias("w"))
+    classes = {"shape": scalars.word_shape(w), "len": F.length("w").cast("long"), "is_digit": w.rlike("^[0-9]+$"), "hyphen": w.contains("-"), "low": F.lower("w"), "is_title": w.rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Lu}]*$"), "is_upper": w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}")}
+    return tokens.select(*[c.alias(n) for n, c in classes.items()]).groupBy(*classes).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, TRY_CAST(p_size AS DOUBLE) AS as_double, TRY_CAST(p_name AS INTEGER) AS as_int, len(string_split(p_name, ' ')) AS words, upper(trim(p_brand)) AS brand FROM part")
@@ -156,8 +159,28 @@ def row_to_json(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))).alias("js"))
 
 
-@query("SELECT 'v2' AS profile, round((2.0 * count(*) / count(*) - 1) * 100, 4) AS gain_pct FROM region")
+@query("""WITH m AS (SELECT l_returnflag AS g, avg(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) AS a, avg(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) AS b FROM lineitem GROUP BY 1 UNION ALL SELECT 'none', 0.0, 1.0)
+  SELECT g, round(CASE WHEN a <> 0 AND b <> 0 THEN (b / a - 1) * 100 END, 4) AS throughput_gain_pct, round(CASE WHEN a <> 0 AND b <> 0 THEN (a / b - 1) * 100 END, 4) AS latency_gain_pct FROM m""")
 def percent_gain(spark: SparkSession, folder: str) -> DataFrame:
-    """Gain of one run over another, from a frame of measures."""
-    n = F.count("*").cast("double")
-    return table(spark, folder, "region").agg(n.alias("a"), (2.0 * n).alias("b")).select(F.lit("v2").alias("profile"), F.round((F.try_divide("b", "a") - 1) * 100, 4).alias("gain_pct"))
+    """Gain of one measure over another in percent, where more is better and where less is; null where either is 0."""
+    price = lambda status: F.avg(F.when(F.col("l_linestatus") == status, F.col("l_extendedprice")))
+    measures = table(spark, folder, "lineitem").groupBy(F.col("l_returnflag").alias("g")).agg(price("O").alias("a"), price("F").alias("b"))
+    measures = measures.unionByName(spark.createDataFrame([("none", 0.0, 1.0)], "g string, a double, b double"))
+    a, b = F.col("a"), F.col("b")
+    return measures.select("g", F.round(scalars.gain(a, b), 4).alias("throughput_gain_pct"), F.round(scalars.gain(a, b, higher=False), 4).alias("latency_gain_pct"))
+
+
+@query("SELECT event_type AS pickup_borough, date_trunc('hour', ts) AS window_start, count(*) AS trips, round(sum(value), 2) AS total_revenue, round(avg(value * 0.70710678), 2) AS avg_fare, round(avg(user_id * 0.70710678), 2) AS avg_distance, round(avg(value * 0.70710678), 4) AS avg_tip_pct FROM events GROUP BY 1, 2")
+def gold_events_hourly(spark: SparkSession, folder: str) -> DataFrame:
+    """The mart by area and hour, over events."""
+    from weftline.operators import marts
+
+    rows = table(spark, folder, "events").select(F.col("event_type").alias("pickup_borough"), "ts", "value", (F.col("value") * 0.70710678).alias("part"), (F.col("user_id") * 0.70710678).alias("who"))
+    return marts.borough_hourly("ts", "value", "part", "who", "part").of(rows)
+
+
+@query("SELECT p_partkey, TRY_CAST('1995-0' || (p_size % 12) || '-15 10:00:00' AS TIMESTAMP) AS at FROM part")
+def strings_to_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Text as timestamps; what is none is null."""
+    text = F.concat(F.lit("1995-0"), F.col("p_size") % 12, F.lit("-15 10:00:00"))
+    return table(spark, folder, "part").select("p_partkey", F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).alias("at"))

@@ -84,11 +84,13 @@ def sequence_tagger(spark: SparkSession, folder: str) -> DataFrame:
     return stats.classification_report(pairs, "truth", "predicted")
 
 
-@query("SELECT doc_id, array_to_string(list_concat(l, list_transform(range(greatest(6 - len(l), 0)), lambda x: 'O'))[1:6], '|') AS padded FROM (SELECT doc_id, string_split(text, ' ')[1:4] AS l FROM documents)")
+@query("""SELECT doc_id, len(t) AS n, array_to_string(list_concat(l, list_transform(range(greatest(len(t) - len(l), 0)), lambda x: 'O'))[1:len(t)], '|') AS padded
+  FROM (SELECT doc_id, string_split(text, ' ') AS t, string_split(CASE WHEN doc_id % 2 = 0 THEN text || ' one two' ELSE split_part(text, '. ', 1) END, ' ') AS l FROM documents)""")
 def pad_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Arrays padded to a length."""
-    rows = table(spark, folder, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 4).alias("l"))
-    return rows.select("doc_id", F.array_join(scalars.padded(F.col("l"), F.lit(6), "O"), "|").alias("padded"))
+    """Labels of whole texts, some longer and some shorter than the tokens, cut or padded to their number."""
+    labels = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" one two"))).otherwise(F.split_part("text", F.lit(". "), F.lit(1)))
+    rows = table(spark, folder, "documents").select("doc_id", F.size(F.split("text", " ")).alias("n"), F.split(labels, " ").alias("l"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n"), F.array_join(scalars.padded(F.col("l"), F.col("n"), "O"), "|").alias("padded"))
 
 
 @query("SELECT page_id, CAST(i AS INTEGER) AS \"row\", 'Bank ' || page_id || i AS name, CAST(i * 10 AS VARCHAR) AS value FROM (SELECT page_id, unnest([0, 1]) AS i FROM pages WHERE page_id % 3 <> 0)")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import stats
+from weftline.functions import scalars
 from weftline.operators import cleaning, models
 from weftline.plans.registry import query
 from weftline.plans.views import cars, sql, table, trips
@@ -72,7 +73,7 @@ def yes_no(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(sql("""SELECT trip_key, "do", distance, fare FROM trips WHERE passengers < 7 AND payment_type BETWEEN 1 AND 6 AND pickup < dropoff AND NOT (distance <= 1 AND fare > 300) AND NOT ((distance = 0 OR fare = 0) AND pu <> "do") AND distance <= 45
-  AND total >= fare AND tip / nullif(fare, 0) <= 1.5 AND fare <= 50000"""))
+  AND total >= fare AND tip / nullif(fare, 0) <= 1.5 AND fare <= 50000 AND distance > 0"""))
 def outlier_rules(spark: SparkSession, folder: str) -> DataFrame:
     """The rule set for analysis, limits of this data for two of them."""
     own = cleaning.outlier_rules(passengers="passengers", rate="payment_type", payment="payment_type", pickup="pickup", dropoff="dropoff", distance="distance", fare="fare", tip="tip", total="total", start="pu", end="do", airport="zero")
@@ -108,9 +109,22 @@ def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.stratified(rows, ["event_type", "hour"], 0.05, "event_id").groupBy("event_type", "hour").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(sql("SELECT trip_key, \"do\", tip FROM trips WHERE fare <> 0 AND tip <> 0 AND distance <> 0 AND passengers <> 0"))
+def nonzero_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows in which four measures are there and not 0."""
+    return trips(spark, folder).filter(cleaning.nonzero(["fare", "tip", "distance", "passengers"])).select("trip_key", "do", "tip")
+
+
+@query(sql("SELECT trip_key, \"do\", date_diff('second', pickup, dropoff) AS seconds FROM trips WHERE date_diff('second', pickup, dropoff) > 0 AND date_diff('second', pickup, dropoff) <= 288000 * 60"))
+def duration_window(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose duration is above 0 and at most so many minutes (200 days of them here)."""
+    seconds = scalars.seconds_between(F.col("pickup"), F.col("dropoff"))
+    return trips(spark, folder).withColumn("seconds", seconds).filter(cleaning.within_minutes(F.col("seconds"), 288_000)).select("trip_key", "do", "seconds")
+
+
+@query("SELECT p_partkey, CASE WHEN CAST('0x' || substr(md5('42/' || p_partkey), 1, 8) AS BIGINT) % 10000 < 8000 THEN 'train' ELSE 'test' END AS part FROM part")
 def split_by_hash(spark: SparkSession, folder: str) -> DataFrame:
-    """Train and test rows by a hash of the key."""
+    """Train and test rows by a checksum of the key."""
     train, test = cleaning.hash_split(table(spark, folder, "part").select("p_partkey"), "p_partkey")
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
