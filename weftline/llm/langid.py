@@ -29,7 +29,7 @@ from weftline.llm import textvec
 from weftline.llm.staging import small_batches, tidy
 
 ORDERS = (3, 5)
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 #: N-grams of a smaller share of their language's are no evidence; fewer than 1 / LEAST_SHARE are left for a language.
 LEAST_SHARE = 1 / 100_000
 PROBES = 3
@@ -163,7 +163,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Co
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
-    """``df`` with the language and score of each whole text. Narrow; the model (16 MB for each 64 languages) is broadcast."""
+    """``df`` with the language and score of each whole text. Narrow; the model (8 MB for each 64 languages) is broadcast."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast((model.languages, model.table, model.false_rate))
 
