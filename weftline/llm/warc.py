@@ -21,19 +21,22 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.staging import new_path, small_batches, staged
+from weftline.llm.staging import new_path, small_batches, staged, tidy
 
 #: The magic number of the dictionary frame and of Zstandard frames.
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES, RECORD_BYTES = 4 << 20, 128 << 10
+#: Of fewer records the sample itself is the dictionary.
+LEAST_SAMPLE = 8
 ARCHIVE_BYTES = 48 << 20
 DATE = "2024-01-01T00:00:00Z"
 
@@ -89,10 +92,13 @@ def archive(records: list[bytes], level: int = 3) -> bytes:
 
     every = max(1, sum(map(len, records)) // SAMPLE_BYTES)
     sample = [r[:RECORD_BYTES] for r in records[::every]]
-    try:
-        dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, sample)) // 8)), sample)
-    except zstandard.ZstdError:  # too little to learn from
+    dictionary = None
+    if len(sample) >= LEAST_SAMPLE:
+        with suppress(zstandard.ZstdError):  # too little to learn from
+            dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, sample)) // 8)), sample)
+    if dictionary is None:
         dictionary = zstandard.ZstdCompressionDict(b"".join(sample)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    dictionary.precompute_compress(level=level)
     out = io.BytesIO()
     own = zstandard.ZstdCompressor(level=6).compress(dictionary.as_bytes())
     out.write(struct.pack("<II", DICTIONARY_MAGIC, len(own)) + own)
@@ -171,7 +177,7 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
             yield flush()
 
     small_batches(df.sparkSession)
-    return staged(rows.mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    return staged(rows.mapInArrow(tidy(run), "path string, records long, bytes long"), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -200,7 +206,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, fields_arrow)
 
     fields_arrow = pa.schema([("record_type", pa.string()), ("key", pa.string()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary())])
-    return manifest.select("path").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4)).mapInArrow(run, fields)
+    return manifest.select("path").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4)).mapInArrow(tidy(run), fields)
 
 
 def round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
