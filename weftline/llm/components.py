@@ -18,6 +18,7 @@ against each, so no bucket is gathered in one task. Only links between component
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ SLICE, GROWTH = 16, 4
 #: The most members of a block, and the most weight that they have together.
 BLOCK, WEIGHT = 256, 1 << 20
 OPEN = ("key", "n", "all_weight", "node", "weight", "anchor", "root")
+#: Turns in which buckets are counted.
+TURNS = 2
 #: Keys of large buckets are sent to all tasks up to this number (some 40 bytes each), else joined.
 SENT_KEYS = 500_000
 #: Lets Spark skip, by a Bloom filter of at most 8 MB, rows without a partner before they are shuffled.
@@ -71,8 +74,14 @@ def _buckets(items: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     Of buckets that hold the same members one is kept.
     """
     keys = items.select("node", "weight", F.explode("bands").alias("key"))
-    counted = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
-    buckets = staged(counted.filter("n > 1"), "buckets")
+    # Some bands at a time: what is shuffled at once is so much less.
+    parts = []
+    for part in range(TURNS):
+        own = items.select("node", F.explode(F.filter("bands", lambda _, i: i % TURNS == part)).alias("key"))  # noqa: B023
+        counted = own.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
+        parts.append(staged(counted.filter("n > 1"), "buckets"))
+    buckets = staged(reduce(DataFrame.unionByName, parts), "buckets")
+    drop(*parts)
     if buckets.isEmpty():
         drop(buckets)
         return None
@@ -177,6 +186,7 @@ def linked(items: DataFrame, payload_of: Callable[[DataFrame], DataFrame], near:
     open_ = staged(own.join(mixed, "key"), "members")
     drop(own)
     least, most = 0, SLICE
+    merges: list[DataFrame] = []
     while True:
         seeking = staged(_seeking(open_.filter(F.col("n") > least)), "seeking")
         if seeking.isEmpty():
@@ -186,18 +196,22 @@ def linked(items: DataFrame, payload_of: Callable[[DataFrame], DataFrame], near:
         dealt = staged(_blocks(still, least, most), "blocks")
         more = staged(_wave(dealt, held, near, prepare), "links")
         drop(seeking, dealt)
-        if more.isEmpty():
-            open_ = still
-        else:
-            merged = roots(more)
-            to = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
-            latest = F.coalesce("to", "root").alias("root")
-            open_ = staged(still.select(*OPEN).join(to, "root", "left").select(*[latest if c == "root" else c for c in OPEN]), "members")
-            was, found = found, staged(found.join(to, "root", "left").select("node", latest), "components")
-            drop(was, still, merged)
+        open_ = still
+        if not more.isEmpty():
+            merges.append(roots(more))
+            to = merges[-1].select(F.col("node").alias("root"), F.col("root").alias("to"))
+            latest = [F.coalesce("to", "root").alias("root") if c == "root" else F.col(c) for c in OPEN]
+            open_ = staged(still.select(*OPEN).join(to, "root", "left").select(*latest), "members")
+            drop(still)
         drop(more)
         least, most = most, most * (1 + GROWTH)
     drop(seeking, open_, held)
+    if merges:
+        # What each wave joined, as links between the first components.
+        joined = roots(reduce(DataFrame.unionByName, merges).select(F.col("node").alias("a"), F.col("root").alias("b")))
+        to = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        was, found = found, staged(found.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "components")
+        drop(was, joined, *merges)
     return found
 
 
