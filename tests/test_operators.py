@@ -1,5 +1,6 @@
 """Hand-built rows for rules, edges, models and streams."""
 
+import itertools
 import json
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars, stats
-from weftline.operators import cleaning, marts, models, ranking, tagging, validation
+from weftline.operators import cleaning, marts, models, ordering, ranking, tagging, validation
 from weftline.session import settings
 from weftline.sources import readers, sinks
 from weftline.streaming import ingest
@@ -200,3 +201,68 @@ def test_gain_and_windows(spark):
     df = spark.createDataFrame([(1.0, 2.0, 60), (0.0, 2.0, 0), (4.0, None, 12001), (2.0, 1.0, 12000)], "a double, b double, s long")
     got = df.select(scalars.gain(F.col("a"), F.col("b")).alias("up"), scalars.gain(F.col("a"), F.col("b"), False).alias("down"), cleaning.within_minutes(F.col("s")).alias("w"), cleaning.nonzero(["a", "b"]).alias("n")).collect()
     assert [tuple(r) for r in got] == [(100.0, -50.0, True, True), (None, None, False, False), (None, None, False, False), (-50.0, 100.0, True, True)]
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_order_over_buckets(spark, buckets):
+    rng = np.random.default_rng(8)
+    x = [float(v) for v in rng.integers(0, 40, 600)] + [7.0] * 400 + [None] * 5
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(x)], "x double, i int")
+    order = sorted(range(len(x)), key=lambda i: (x[i] is not None, x[i] if x[i] is not None else 0.0, i))
+    got = {r["i"]: r["n"] for r in ordering.numbered(df, [F.col("x"), F.col("i")], "n", buckets).collect()}
+    assert got == {i: n for n, i in enumerate(order, 1)}
+    falling = sorted(range(len(x)), key=lambda i: (x[i] is None, -(x[i] or 0.0), i))
+    ranks = {v: r for r, v in enumerate(sorted({v for v in x if v is not None}, reverse=True) + [None], 1)}
+    sums = np.cumsum([x[i] or 0.0 for i in falling])
+    below = {i: x[j] for i, j in zip(falling, falling[1:] + [None]) if j is not None} | {falling[-1]: None}
+    for r in ordering.ranked(df, "x", "i", "x", buckets).collect():
+        assert (r["dense_rank"], r["__below"]) == (ranks[r["x"]], below[r["i"]])
+        assert r["x"] is None or np.isclose(r["cumulative_share"], sums[falling.index(r["i"])])
+    assert ordering.numbered(df.limit(0), [F.col("x")], "n").count() == 0
+
+
+def test_models_are_written_and_read(spark, tmp_path):
+    model = models.Linear(("a", "b"), 1.5, np.array([0.25, -2.0]))
+    models.save_linear(spark, f"file://{tmp_path}/m", model)
+    again = models.load_linear(spark, f"file://{tmp_path}/m")
+    assert (again.names, again.intercept, again.weights.tolist()) == (("a", "b"), 1.5, [0.25, -2.0])
+
+
+def _random_chains(rng, width=11, labels=3):
+    lengths = np.array([4, 1, 6, 3])
+    n = int(lengths.sum())
+    return tagging._Chains(rng.integers(0, width, (n, 3)), rng.integers(0, labels, n), rng.random(n) + 0.5, lengths, width, labels)
+
+
+def test_field_likelihood_and_gradient():
+    rng = np.random.default_rng(3)
+    c = _random_chains(rng)
+    x = rng.normal(size=(11 + 3) * 3)
+    w, follows = x[:33].reshape(11, 3), x[33:].reshape(3, 3)
+    want = 0.2 * x @ x
+    for b, n in zip(c.begins, c.lengths):
+        score = w[c.slots[b : b + n]].sum(axis=1)
+        total = lambda path: sum(score[t, y] for t, y in enumerate(path)) + sum(follows[p, q] for p, q in zip(path, path[1:]))
+        paths = [total(p) for p in itertools.product(range(3), repeat=int(n))]
+        want += c.weight[b] * (np.log(np.exp(paths).sum()) - total(c.y[b : b + n].tolist()))
+    value, g = c.loss(x, 0.2)
+    assert np.isclose(value, want)
+    for i in rng.choice(len(x), 12, replace=False):
+        d = np.zeros_like(x)
+        d[i] = 1e-5
+        assert np.isclose(g[i], (c.loss(x + d, 0.2)[0] - c.loss(x - d, 0.2)[0]) / 2e-5, atol=1e-5)
+
+
+def test_absolute_penalty_is_least_where_conditions_hold():
+    c = _random_chains(np.random.default_rng(5))
+    x = tagging.least(lambda v: c.loss(v, 0.1), np.zeros(42), 0.4, 500, tolerance=1e-8)
+    g = c.loss(x, 0.1)[1]
+    assert (x == 0).any() and (x != 0).any()
+    assert np.allclose(g[x != 0], -0.4 * np.sign(x[x != 0]), atol=1e-4) and (np.abs(g[x == 0]) <= 0.4 + 1e-4).all()
+
+
+def test_taggers_are_written_and_read(spark, tmp_path):
+    t = tagging.Tagger(("a", "b"), np.eye(4, 2), np.zeros((2, 2)), 4)
+    tagging.save_tagger(spark, f"file://{tmp_path}/t", t)
+    again = tagging.load_tagger(spark, f"file://{tmp_path}/t")
+    assert again.labels == t.labels and np.array_equal(again.weights, t.weights) and again.decode([np.array([0]), np.array([1])]) == ["a", "b"]

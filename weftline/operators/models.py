@@ -7,15 +7,17 @@ penalties costs one pass, and results equal the closed forms.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.stats import with_scalars
+from weftline.operators.ordering import numbered
 
 
 def one_hot(df: DataFrame, c: str, most: int = 20) -> DataFrame:
@@ -28,10 +30,8 @@ def one_hot(df: DataFrame, c: str, most: int = 20) -> DataFrame:
 
 def label_encoded(df: DataFrame, c: str) -> DataFrame:
     """``<c>_code``: the place of the value among the sorted distinct ones, from 0."""
-    codes = df.select(F.col(c).alias("__v")).filter("__v is not null").distinct()
-    from pyspark.sql import Window
-
-    codes = codes.select("__v", (F.row_number().over(Window.orderBy("__v")) - 1).alias(f"{c}_code"))
+    values = df.select(F.col(c).alias("__v")).filter("__v is not null").distinct()
+    codes = numbered(values, [F.col("__v")], "__place").select("__v", (F.col("__place") - 1).cast("int").alias(f"{c}_code"))
     return df.join(codes, F.col(c) == F.col("__v"), "left").drop("__v")
 
 
@@ -166,3 +166,23 @@ def coefficients(models: dict[str, Linear]) -> list[tuple]:
     first = next(iter(models.values()))
     rows = [(c, *[float(m.weights[m.names.index(c)]) for m in models.values()]) for c in first.names]
     return sorted(((*r, any(abs(w) < 1e-9 for w in r[1:])) for r in rows), key=lambda r: -abs(r[1]))
+
+
+def saved(spark: SparkSession, path: str, parts: dict) -> None:
+    """The parts of a model (numbers, strings, lists, arrays) as JSON at a path that Spark writes; replaces what is there."""
+    plain = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in parts.items()}
+    spark.createDataFrame([(json.dumps(plain),)], "model string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def loaded(spark: SparkSession, path: str) -> dict:
+    """What :func:`saved` wrote; arrays come as lists."""
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def save_linear(spark: SparkSession, path: str, model: Linear) -> None:
+    saved(spark, path, {"names": list(model.names), "intercept": model.intercept, "weights": model.weights})
+
+
+def load_linear(spark: SparkSession, path: str) -> Linear:
+    parts = loaded(spark, path)
+    return Linear(tuple(parts["names"]), parts["intercept"], np.array(parts["weights"], float))

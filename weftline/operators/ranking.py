@@ -1,7 +1,6 @@
 """Ranks, shares, gaps, quantile cuts, tiers and segments.
 
-A total order needs all rows in it: global windows run after the frame is as small as the question
-allows. ``shares`` avoids a window altogether; ranks and running sums use one.
+``shares`` needs no window; ranks and running sums over a whole frame are those of :mod:`ordering`.
 """
 
 from __future__ import annotations
@@ -9,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import cut, ladder
 from weftline.functions.stats import quantiles, with_scalars
+from weftline.operators import ordering
 
 #: Tiers by percent of the total, market-value segments and their edges.
 SHARE_TIERS = [(20, "Tier 1 (High)"), (10, "Tier 2 (Medium)")]
@@ -27,16 +27,13 @@ def shares(df: DataFrame, value: str) -> DataFrame:
 
 def ranked(df: DataFrame, value: str, tie: str) -> DataFrame:
     """``df`` by falling value: dense_rank, cumulative_share, gap and growth_pct to the next lower row (0 for the last), dominance."""
-    order = [F.col(value).desc(), F.col(tie)]
-    w = Window.orderBy(*order)
-    below = F.lead(value).over(w)
-    return shares(df, value).select(
+    below = F.col("__below")
+    return ordering.ranked(shares(df, value), value, tie, "share_pct").select(
         "*",
-        F.dense_rank().over(Window.orderBy(F.col(value).desc())).alias("dense_rank"),
-        F.sum("share_pct").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative_share"),
         F.coalesce(F.col(value) - below, F.lit(0.0)).alias("gap"),
         F.coalesce((F.try_divide(F.col(value), below) - 1) * 100, F.lit(0.0)).alias("growth_pct"),
-    ).withColumn("dominance", F.col("share_pct") / F.col("dense_rank"))
+        (F.col("share_pct") / F.col("dense_rank")).alias("dominance"),
+    ).drop("__below")
 
 
 def quantile_cut(df: DataFrame, value: str, labels: Sequence[str], name: str) -> DataFrame:

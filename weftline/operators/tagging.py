@@ -1,23 +1,25 @@
 """Token features, class weights and a linear-chain sequence tagger.
 
 Sentences are arrays of tokens; features are expressions over the array, so no sentence is shuffled.
-The tagger is a multinomial logistic model over token features with transition scores between labels,
-counted from neighbouring labels; decoding is Viterbi in Arrow batches.
+The tagger is a linear-chain conditional random field over hashed token features; its likelihood, less an
+absolute and a squared penalty, is raised by a quasi-Newton method; decoding is Viterbi in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import numeric_text, word_shape
+from weftline.operators.models import loaded, saved
 
-# Units, quantities and stop words.
+# Units, quantities, stop words and the pattern of a leading quantity.
 UNITS = ["cup", "cups", "tsp", "teaspoon", "teaspoons", "tbsp", "tablespoon", "tablespoons", "g", "gram", "grams", "kg", "kilogram", "kilograms", "ml", "milliliter", "milliliters", "l", "liter", "liters", "oz", "ounce", "ounces", "lb", "pound", "pounds", "pinch", "clove", "cloves", "slice", "slices"]
 QUANTITIES = ["half", "quarter", "third", "fourth", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
 STOP_WORDS = ["and", "or", "the", "a", "an", "of", "in"]
@@ -74,10 +76,11 @@ def class_weights(rows: DataFrame, label: str = "label", boost: dict[str, float]
     return counts.join(F.broadcast(total), F.lit(True)).select("label", "n", (F.col("all") / F.col("n") * factor).alias("weight"))
 
 
-def errors_by_label(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """label, n, errors, accuracy."""
+def errors_by_label(rows: DataFrame, truth: str, predicted: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """label, n, errors, accuracy; with ``weights`` of labels also weight (null for a label without one)."""
     wrong = F.count_if(F.col(truth) != F.col(predicted))
-    return rows.groupBy(F.col(truth).alias("label")).agg(F.count("*").alias("n"), wrong.alias("errors"), F.round(1 - wrong / F.count("*"), 6).alias("accuracy"))
+    out = rows.groupBy(F.col(truth).alias("label")).agg(F.count("*").alias("n"), wrong.alias("errors"), F.round(1 - wrong / F.count("*"), 6).alias("accuracy"))
+    return out.withColumn("weight", F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("label").cast("string")]) if weights else out
 
 
 @dataclass(frozen=True)
@@ -113,29 +116,122 @@ def slotted(featured: DataFrame, width: int) -> DataFrame:
     return featured.withColumn("slots", F.array(*[F.pmod(F.xxhash64(F.lit(c), F.col(c).cast("string")), F.lit(width)).cast("int") for c in SLOTTED]))
 
 
-def fit_tagger(rows: DataFrame, label: str = "label", width: int = 4096, most: int = 50_000, epochs: int = 30, rate: float = 0.3, penalty: float = 1e-4) -> Tagger:
-    """A tagger from slotted rows (id, i, slots, label, prev_label, weight); fitted on a bounded sample of ``most`` tokens, by hash of the sentence."""
+class _Chains:
+    """Sentences laid end to end, longest first, so that a step of a recursion is one operation over all that go on."""
+
+    def __init__(self, slots: np.ndarray, y: np.ndarray, weight: np.ndarray, lengths: np.ndarray, width: int, labels: int) -> None:
+        order = np.argsort(-lengths, kind="stable")
+        begins = np.cumsum(lengths) - lengths
+        at = np.concatenate([np.arange(begins[i], begins[i] + lengths[i]) for i in order])
+        self.slots, self.y, self.width, self.labels = slots[at], y[at], width, labels
+        self.lengths = lengths[order]
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        means = np.array([weight[begins[i] : begins[i] + lengths[i]].mean() for i in order])
+        self.weight = np.repeat(means, self.lengths)
+        self.first = np.zeros(len(at), bool)
+        self.first[self.begins] = True
+        self.going = [int((self.lengths > t).sum()) for t in range(int(self.lengths[0]))]
+
+    def loss(self, x: np.ndarray, squared: float) -> tuple[float, np.ndarray]:
+        """Weighted negative log-likelihood plus ``squared`` times the sum of squares, and its gradient."""
+        size, n = self.width * self.labels, len(self.y)
+        w, follows = x[:size].reshape(self.width, self.labels), x[size:].reshape(self.labels, self.labels)
+        score = w[self.slots].sum(axis=1)
+        top = score.max(axis=1)
+        e, step = np.exp(score - top[:, None]), np.exp(follows - follows.max())
+        ahead, scale, back = np.empty_like(e), np.empty(n), np.ones_like(e)
+        for t, k in enumerate(self.going):
+            i = self.begins[:k] + t
+            row = e[i] if t == 0 else (ahead[i - 1] @ step) * e[i]
+            scale[i] = row.sum(axis=1)
+            ahead[i] = row / scale[i][:, None]
+        for t in range(len(self.going) - 1, 0, -1):
+            i = self.begins[: self.going[t]] + t
+            back[i - 1] = ((e[i] * back[i]) @ step.T) / scale[i][:, None]
+        later = np.flatnonzero(~self.first)
+        gold = score[np.arange(n), self.y]
+        gold[later] += follows[self.y[later - 1], self.y[later]]
+        total = np.log(scale) + top
+        total[later] += follows.max()
+        excess = ahead * back
+        excess[np.arange(n), self.y] -= 1
+        excess *= self.weight[:, None]
+        flat = self.slots.reshape(-1)
+        by_slot = np.stack([np.bincount(flat, np.repeat(excess[:, j], self.slots.shape[1]), self.width) for j in range(self.labels)], axis=1)
+        onward = (e[later] * back[later]) * (self.weight[later] / scale[later])[:, None]
+        moves = (ahead[later - 1].T @ onward) * step
+        np.subtract.at(moves, (self.y[later - 1], self.y[later]), self.weight[later])
+        value = float((self.weight * (total - gold)).sum() + squared * (x @ x))
+        return value, np.concatenate([by_slot.reshape(-1), moves.reshape(-1)]) + 2 * squared * x
+
+
+def least(f, x: np.ndarray, absolute: float = 0.0, steps: int = 100, memory: int = 6, tolerance: float = 1e-5) -> np.ndarray:
+    """Where ``f`` (value and gradient) plus ``absolute`` times the sum of absolute values is least: limited-memory quasi-Newton steps that stay in the orthant where they start."""
+    value, g = f(x)
+    pairs: deque = deque(maxlen=memory)
+    for _ in range(steps):
+        slope = np.where(x != 0, g + absolute * np.sign(x), np.sign(g) * np.maximum(np.abs(g) - absolute, 0))
+        if np.linalg.norm(slope) <= tolerance * max(1.0, np.linalg.norm(x)):
+            break
+        way, kept = -slope, []
+        for s, y in reversed(pairs):
+            kept.append(a := (s @ way) / (s @ y))
+            way = way - a * y
+        if pairs:
+            s, y = pairs[-1]
+            way = way * ((s @ y) / (y @ y))
+        for (s, y), a in zip(pairs, reversed(kept), strict=True):
+            way = way + (a - (y @ way) / (s @ y)) * s
+        way = np.where(way * slope < 0, way, 0.0) if absolute else way
+        orthant = np.where(x != 0, np.sign(x), -np.sign(slope))
+        size, before = (1.0 if pairs else 1 / np.linalg.norm(slope)), value + absolute * np.abs(x).sum()
+        while True:
+            new = x + size * way
+            new = np.where(new * orthant < 0, 0.0, new) if absolute else new
+            new_value, new_g = f(new)
+            if new_value + absolute * np.abs(new).sum() <= before + 1e-4 * (slope @ (new - x)):
+                break
+            size /= 2
+            if size < 1e-12:
+                return x
+        if (new - x) @ (new_g - g) > 1e-12:
+            pairs.append((new - x, new_g - g))
+        x, value, g = new, new_value, new_g
+    return x
+
+
+def fit_tagger(rows: DataFrame, label: str = "label", width: int = 4096, most: int = 50_000, c1: float = 0.1, c2: float = 0.1, steps: int = 100) -> Tagger:
+    """A conditional random field from slotted rows (id, i, slots, label, weight), with penalties ``c1`` on absolute and ``c2`` on squared weights.
+
+    Fitted on a bounded sample of about ``most`` tokens: whole sentences, by hash of the id. A sentence counts by the mean weight of its tokens.
+    """
     n = rows.count()
     part = rows if n <= most else rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    data = part.orderBy("id", "i").select("slots", label, "prev_label", "weight").limit(2 * most).collect()
+    data = part.orderBy("id", "i").select("id", "slots", label, "weight").limit(2 * most).collect()
     labels = tuple(sorted({r[label] for r in data}))
     at = {x: i for i, x in enumerate(labels)}
-    slots = np.array([r["slots"] for r in data])
-    y, weight = np.array([at[r[label]] for r in data]), np.array([r["weight"] or 1.0 for r in data])
-    w = np.zeros((width, len(labels)))
-    for _ in range(epochs):
-        score = w[slots].sum(axis=1)
-        p = np.exp(score - score.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
-        step = np.zeros_like(w)
-        np.add.at(step, slots.reshape(-1), np.repeat(p * (weight / weight.mean())[:, None], slots.shape[1], axis=0))
-        w -= rate * (step / max(1.0, np.sqrt(len(y))) + penalty * w)
-    follows = np.ones((len(labels), len(labels)))
-    for r in data:
-        if r["prev_label"] in at:
-            follows[at[r["prev_label"]], at[r[label]]] += 1
-    return Tagger(labels, w, np.log(follows / follows.sum(axis=1, keepdims=True)), width)
+    lengths = np.array(list(Counter(r["id"] for r in data).values()))
+    weight = np.array([r["weight"] or 1.0 for r in data])
+    chains = _Chains(np.array([r["slots"] for r in data]), np.array([at[r[label]] for r in data]), weight / weight.mean(), lengths, width, len(labels))
+    x = least(lambda v: chains.loss(v, c2), np.zeros((width + len(labels)) * len(labels)), c1, steps)
+    size = width * len(labels)
+    return Tagger(labels, x[:size].reshape(width, -1), x[size:].reshape(len(labels), -1), width)
+
+
+def save_tagger(spark: SparkSession, path: str, tagger: Tagger) -> None:
+    saved(spark, path, {"labels": list(tagger.labels), "weights": tagger.weights, "follows": tagger.follows, "width": tagger.width})
+
+
+def load_tagger(spark: SparkSession, path: str) -> Tagger:
+    parts = loaded(spark, path)
+    return Tagger(tuple(parts["labels"]), np.array(parts["weights"]), np.array(parts["follows"]), parts["width"])
+
+
+def feature_lists(df: DataFrame, tokens: str, *keep: str) -> DataFrame:
+    """keep..., ``features``: for each token of a sentence, in order, a struct of it and its neighbours (empty at the ends), without a shuffle."""
+    at = lambda i: F.coalesce(F.lower(F.get(tokens, i)), F.lit(""))
+    one = lambda w, i: F.struct(w.alias("token"), F.lower(w).alias("lower"), at(i - 1).alias("prev_token"), at(i + 1).alias("next_token"), (i == 0).alias("BOS"), (i == F.size(tokens) - 1).alias("EOS"))
+    return df.select(*keep, F.transform(tokens, one).alias("features"))
 
 
 def tagged(sentences: DataFrame, tagger: Tagger) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import stats
 from weftline.functions.scalars import cut
-from weftline.operators import ranking
+from weftline.operators import ordering, ranking
 from weftline.plans.registry import query
 from weftline.plans.views import banks, sql
 
@@ -36,9 +36,7 @@ def quartiles(spark: SparkSession, folder: str) -> DataFrame:
   FROM (SELECT bank, row_number() OVER (ORDER BY value, bank) AS r FROM banks), (SELECT quantile_cont(i, [0.25, 0.5, 0.75]) AS e FROM (SELECT CAST(row_number() OVER () AS DOUBLE) AS i FROM banks))"""))
 def quartiles_by_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Bins between quantiles of the rank, ties by id."""
-    from pyspark.sql import Window
-
-    rows = banks(spark, folder).withColumn("r", F.row_number().over(Window.orderBy("value", "bank")))
+    rows = ordering.numbered(banks(spark, folder), [F.col("value"), F.col("bank")], "r")
     return ranking.quantile_cut(rows, "r", ["Q1", "Q2", "Q3", "Q4"], "quartile").select("bank", "quartile")
 
 

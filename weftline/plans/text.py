@@ -34,9 +34,9 @@ def classification_report(spark: SparkSession, folder: str) -> DataFrame:
     return stats.classification_report(table(spark, folder, "labels"), "quality", "toxic")
 
 
-@query("SELECT quality AS label, count(*) AS n, sum(CASE WHEN quality <> toxic THEN 1 ELSE 0 END)::BIGINT AS errors, round(1 - sum(CASE WHEN quality <> toxic THEN 1 ELSE 0 END) / count(*), 6) AS accuracy FROM labels GROUP BY 1")
+@query("SELECT quality AS label, count(*) AS n, sum(CASE WHEN quality <> toxic THEN 1 ELSE 0 END)::BIGINT AS errors, round(1 - sum(CASE WHEN quality <> toxic THEN 1 ELSE 0 END) / count(*), 6) AS accuracy, CASE quality WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 2.0::DOUBLE END AS weight FROM labels GROUP BY quality")
 def errors_by_label(spark: SparkSession, folder: str) -> DataFrame:
-    return tagging.errors_by_label(table(spark, folder, "labels"), "quality", "toxic")
+    return tagging.errors_by_label(table(spark, folder, "labels"), "quality", "toxic", {"0": 0.5, "1": 2.0})
 
 
 @query("SELECT role AS label, count(*) AS n, round(sum(count(*)) OVER () * 1.0 / count(*) * CASE WHEN role = 'user' THEN 2.0 ELSE 1.0 END, 6) AS weight FROM conversations GROUP BY 1")
@@ -53,7 +53,25 @@ def token_features(spark: SparkSession, folder: str) -> DataFrame:
     return tagging.features(rows).select("conv_id", "turn", "token", "prev_token", "next_token", "BOS", "EOS", "has_digit", "hyphenated", "is_stop")
 
 
-_RULE = "CASE WHEN contains(w, '.') THEN 'END' WHEN length(w) <= 3 THEN 'SHORT' ELSE 'WORD' END"
+@query("""SELECT conv_id, turn, len(l) AS n, array_to_string(list_transform(l, lambda w, i: coalesce(lower(l[i - 1]), '') || '<' || lower(w) || '>' || coalesce(lower(l[i + 1]), '') || CASE WHEN i = 1 THEN '!' ELSE '' END), ' ') AS chain
+  FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS l FROM conversations)""")
+def sentence_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Each sentence as an array of the features of its tokens."""
+    rows = tagging.feature_lists(tagging.tokenised(table(spark, folder, "conversations"), "text"), "text", "conv_id", "turn")
+    told = F.transform("features", lambda x: F.concat(x["prev_token"], F.lit("<"), x["lower"], F.lit(">"), x["next_token"], F.when(x["BOS"], "!").otherwise("")))
+    return rows.select("conv_id", "turn", F.size("features").cast("long").alias("n"), F.array_join(told, " ").alias("chain"))
+
+
+@query("""SELECT token, regexp_matches(token, '\\p{L}') AS has_alpha, contains(token, '/') AS slash_present, regexp_matches(token, '^[0-9]+$') AS is_digit, regexp_matches(token, '^[0-9]+/[0-9]+') AS is_fraction, regexp_matches(token, '^[0-9]+\\.[0-9]+') AS is_decimal,
+  token IN ('half') OR regexp_matches(token, '^[0-9]') AS is_quantity, token IN ('cup', 'kg') AS is_unit, token IN (',') AS is_punct, count(*) AS n
+  FROM (SELECT unnest([CAST(l_quantity AS INTEGER) || '/' || l_linenumber, l_linenumber::VARCHAR, l_linenumber || '.5', l_returnflag, 'cup', 'kg', 'half', ',']) AS token FROM lineitem) GROUP BY ALL""")
+def token_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantities, fractions, decimals, units and punctuation among tokens made of line items."""
+    line = table(spark, folder, "lineitem")
+    text = [F.concat(F.col("l_quantity").cast("int"), F.lit("/"), "l_linenumber"), F.col("l_linenumber").cast("string"), F.concat("l_linenumber", F.lit(".5")), F.col("l_returnflag"), *map(F.lit, ("cup", "kg", "half", ","))]
+    rows = tagging.exploded(line.select("l_orderkey", F.array(*text).alias("tokens")), "tokens", "l_orderkey")
+    names = ["token", "has_alpha", "slash_present", "is_digit", "is_fraction", "is_decimal", "is_quantity", "is_unit", "is_punct"]
+    return tagging.features(rows).groupBy(*names).agg(F.count("*").alias("n"))
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +92,7 @@ def sequence_tagger(spark: SparkSession, folder: str) -> DataFrame:
     """Train the tagger on most sentences, tag the rest, and report."""
     width = 4096
     rows = tagging.exploded(_labelled(spark, folder).select("id", "tokens", "labels"), "tokens", "id", "labels")
-    rows = tagging.slotted(tagging.features(rows), width).select("id", "i", "slots", F.get("labels", F.col("i")).alias("label"), F.get("labels", F.col("i") - 1).alias("prev_label"))
+    rows = tagging.slotted(tagging.features(rows), width).select("id", "i", "slots", F.get("labels", F.col("i")).alias("label"))
     held = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
     weights = tagging.class_weights(rows.filter(~held)).select("label", "weight")
     tagger = tagging.fit_tagger(rows.filter(~held).join(F.broadcast(weights), "label"), width=width)
