@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars, stats
 from weftline.operators import cleaning, marts, models, ordering, ranking, tagging, validation
-from weftline.session import settings
+from weftline.session import logger, settings
 from weftline.sources import readers, sinks
 from weftline.streaming import ingest
 
@@ -266,3 +266,32 @@ def test_taggers_are_written_and_read(spark, tmp_path):
     tagging.save_tagger(spark, f"file://{tmp_path}/t", t)
     again = tagging.load_tagger(spark, f"file://{tmp_path}/t")
     assert again.labels == t.labels and np.array_equal(again.weights, t.weights) and again.decode([np.array([0]), np.array([1])]) == ["a", "b"]
+
+
+def test_supervised_streams_stop_when_idle_and_raise(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("x\ny\n")
+    raw = readers.text_stream(spark, str(tmp_path / "in"), 1)
+    q = ingest.start(raw, "parquet", f"{tmp_path}/out", f"{tmp_path}/c1", every="0 seconds")
+    ingest.supervised([q], idle=2.0)
+    assert not q.isActive and spark.read.parquet(f"{tmp_path}/out").count() == 2
+    good = ingest.start(raw, "parquet", f"{tmp_path}/out2", f"{tmp_path}/c2", every="0 seconds")
+    bad = ingest.batches(raw, f"{tmp_path}/c3", lambda batch, number: 1 / 0)
+    with pytest.raises(Exception, match="ZeroDivision"):
+        ingest.supervised([good, bad])
+    assert not good.isActive and not bad.isActive
+
+
+def test_lakes_are_wiped_and_logs_written(spark, tmp_path):
+    path = f"file://{tmp_path}/lake"
+    spark.range(2).write.parquet(path)
+    assert sinks.wiped(spark, path, f"file://{tmp_path}/none") == [path] and not sinks.exists(spark, path)
+    log = logger("test", str(tmp_path / "log.txt"))
+    log.info("begun")
+    assert logger("test") is log and "begun" in (tmp_path / "log.txt").read_text()
+
+
+def test_csv_markdown_and_wide_profile(spark):
+    df = spark.createDataFrame([(1, None, [1])], "a int, b string, c array<int>")
+    assert stats.columns_by_kind(df) == {"numeric": ["a"], "text": ["b"], "time": [], "other": ["c"]}
+    assert {r["column"]: (r["n"], r["null_count"], r["n_distinct"]) for r in stats.schema_profile(df).collect()} == {"a": (1, 0, 1), "b": (1, 1, 0), "c": (1, 0, 1)}

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DatetimeType, NumericType, StringType
 
 
 def five_numbers(value: str) -> list[Column]:
@@ -74,6 +75,25 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*parts).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
+def columns_by_kind(df: DataFrame) -> dict[str, list[str]]:
+    """Names of the numeric, text, time and other columns, in their order."""
+    kinds: dict[str, list[str]] = {"numeric": [], "text": [], "time": [], "other": []}
+    for f in df.schema.fields:
+        kind = "numeric" if isinstance(f.dataType, NumericType) else "text" if isinstance(f.dataType, StringType) else "time" if isinstance(f.dataType, DatetimeType) else "other"
+        kinds[kind].append(f.name)
+    return kinds
+
+
+def schema_profile(df: DataFrame) -> DataFrame:
+    """column, kind, n, null_count, n_distinct of every column. One line for each column and value is shuffled, after partial counts."""
+    kind = {c: k for k, names in columns_by_kind(df).items() for c in names}
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in df.columns])).alias("x")).select("x.*")
+    values = cells.groupBy("column", "v").agg(F.count("*").alias("n"))
+    nulls = F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0))
+    kinds = F.create_map(*[F.lit(x) for pair in kind.items() for x in pair])
+    return values.groupBy("column").agg(F.sum("n").alias("n"), nulls.alias("null_count"), F.count("v").alias("n_distinct")).select("column", kinds[F.col("column")].alias("kind"), "n", "null_count", "n_distinct")
+
+
 def correlations(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
     """Pairwise Pearson correlations (a, b, r) of rows that have both. One pass."""
     parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(a, b), digits).alias("r")) for i, a in enumerate(columns) for b in columns[i:]]

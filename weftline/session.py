@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -32,6 +33,7 @@ def settings(profile: str = "v2") -> dict[str, str]:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.streaming.schemaInference": "false",
         "spark.sql.streaming.minBatchesToRetain": "2",
+        "spark.driver.memory": "4g",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
     }
@@ -40,3 +42,14 @@ def settings(profile: str = "v2") -> dict[str, str]:
 def session(profile: str = "v2", master: str | None = None, **more: str) -> SparkSession:
     builder = SparkSession.builder.appName("weftline").config(map=settings(profile) | {k.replace("__", "."): v for k, v in more.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def logger(name: str, file: str | None = None) -> logging.Logger:
+    """A logger of the driver to the console and, if named, a file; asked for again, it is the same one."""
+    log = logging.getLogger(f"weftline.{name}")
+    if not log.handlers:
+        log.setLevel(logging.INFO)
+        for handler in [logging.StreamHandler(), *([logging.FileHandler(file)] if file else [])]:
+            handler.setFormatter(logging.Formatter("%(asctime)s %(name)s %(levelname)s %(message)s"))
+            log.addHandler(handler)
+    return log
