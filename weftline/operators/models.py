@@ -109,6 +109,10 @@ def lasso(m: Moments, alpha: float, sweeps: int = 2000, tolerance: float = 1e-10
     return _model(m, w)
 
 
+#: Unexplained shares below this are rounding: moments in doubles, of features that may be nearly collinear, hold no more.
+RESIDUAL = 1e-7
+
+
 def inflation(m: Moments) -> dict[str, float]:
     """Variance inflation factors, 1 / (1 - R2) of each feature on the others; infinite where they determine it."""
     out = {}
@@ -117,7 +121,7 @@ def inflation(m: Moments) -> dict[str, float]:
         total = m.xx[j, j]
         explained = m.xx[j, rest] @ np.linalg.lstsq(m.xx[np.ix_(rest, rest)], m.xx[rest, j], rcond=1e-10)[0] if rest else 0.0
         left = 1 - explained / total if total > 0 else 1.0
-        out[name] = 1 / left if left > 1e-9 else float("inf")
+        out[name] = 1 / left if left > RESIDUAL else float("inf")
     return out
 
 
