@@ -221,6 +221,19 @@ def test_order_over_buckets(spark, buckets):
     assert ordering.numbered(df.limit(0), [F.col("x")], "n").count() == 0
 
 
+@pytest.fixture(params=[22, 200])
+def many_buckets(spark, request):
+    """As many shuffle partitions, and so buckets, as large tables take: 22 and more overflowed an int."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    yield spark.createDataFrame([(i, float(i * 7 % 40)) for i in range(300)], "i int, x double")
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_codes_over_many_buckets(many_buckets):
+    assert {(r["x"], r["x_code"]) for r in models.label_encoded(many_buckets, "x").collect()} == {(float(v), v) for v in range(40)}
+
+
 def test_models_are_written_and_read(spark, tmp_path):
     model = models.Linear(("a", "b"), 1.5, np.array([0.25, -2.0]))
     models.save_linear(spark, f"file://{tmp_path}/m", model)

@@ -26,7 +26,7 @@ def bucketed(df: DataFrame, keys: Sequence[Column], buckets: int | None = None)
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = df.withColumn("__key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
     rate = with_scalars(out, out.agg(F.count("*").alias("__all")))
-    some = rate.filter(F.pmod(F.xxhash64("__key"), F.lit(MODULUS)) * F.col("__all") < F.lit(MODULUS * PER_BUCKET) * buckets)
+    some = rate.filter(F.pmod(F.xxhash64("__key"), F.lit(MODULUS)) * F.col("__all") < F.lit(MODULUS * PER_BUCKET * buckets).cast("long"))
     ends = some.agg(F.sort_array(F.collect_list("__key")).alias("s"))
     step = F.greatest(F.floor(F.size("s") / buckets), F.lit(1)).cast("int")
     bounds = ends.select(F.filter("s", lambda _, i: (i > 0) & (i % step == 0)).alias("__bounds"))
