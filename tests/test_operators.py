@@ -234,6 +234,10 @@ def test_codes_over_many_buckets(many_buckets):
     assert {(r["x"], r["x_code"]) for r in models.label_encoded(many_buckets, "x").collect()} == {(float(v), v) for v in range(40)}
 
 
+def test_ranks_over_many_buckets(many_buckets):
+    assert {(r["x"], r["dense_rank"]) for r in ranking.ranked(many_buckets, "x", "i").collect()} == {(float(v), 40 - v) for v in range(40)}
+
+
 def test_models_are_written_and_read(spark, tmp_path):
     model = models.Linear(("a", "b"), 1.5, np.array([0.25, -2.0]))
     models.save_linear(spark, f"file://{tmp_path}/m", model)
