@@ -238,6 +238,12 @@ def test_ranks_over_many_buckets(many_buckets):
     assert {(r["x"], r["dense_rank"]) for r in ranking.ranked(many_buckets, "x", "i").collect()} == {(float(v), 40 - v) for v in range(40)}
 
 
+def test_numbers_over_many_buckets(many_buckets):
+    rows = sorted(many_buckets.collect(), key=lambda r: (r["x"], r["i"]))
+    got = {r["i"]: r["n"] for r in ordering.numbered(many_buckets, [F.col("x"), F.col("i")], "n").collect()}
+    assert [got[r["i"]] for r in rows] == list(range(1, 301))
+
+
 def test_models_are_written_and_read(spark, tmp_path):
     model = models.Linear(("a", "b"), 1.5, np.array([0.25, -2.0]))
     models.save_linear(spark, f"file://{tmp_path}/m", model)
