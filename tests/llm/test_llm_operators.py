@@ -685,3 +685,10 @@ def test_query_against_sql(spark, folder, name):
     from weftline.llm import queries
 
     assert oracle.difference(queries.QUERIES[name](spark, folder), oracle.connection(folder), queries.ORACLES[name]) == ""
+
+
+def test_frequent_words_are_counted_exactly(spark):
+    """A word just at the share, of which a stretch of texts holds too few to be seen there: two of 211 in 400,000 tokens."""
+    texts = [("edge " * {0: 2, 399: 209}.get(i, 0) + "a " * 999).split()[:999] for i in range(400)]
+    rows = spark.createDataFrame([(" ".join(x),) for x in texts], "text string").coalesce(1)
+    assert len(pitmanyor.frequent(rows, hold=200_000).words) == 2
