@@ -692,3 +692,14 @@ def test_frequent_words_are_counted_exactly(spark):
     texts = [("edge " * {0: 2, 399: 209}.get(i, 0) + "a " * 999).split()[:999] for i in range(400)]
     rows = spark.createDataFrame([(" ".join(x),) for x in texts], "text string").coalesce(1)
     assert len(pitmanyor.frequent(rows, hold=200_000).words) == 2
+
+
+@pytest.mark.parametrize("places, passes, words", [({10: 201}, 1, 2), ({10: 199}, 2, 1), ({10: 199, 370: 1}, 2, 2), ({10: 150}, 1, 1)])
+def test_rare_words_are_not_sent_to_find_frequent_ones(spark, monkeypatch, places, passes, words):
+    """380,000 tokens, of which 200 are a share: a word that one sending leaves open is counted again, rare words are not sent at all."""
+    texts = [(f"rare{i} " + "edge " * places.get(i, 0) + "a " * 998).split()[:999] for i in range(380)]
+    rows = spark.createDataFrame([(" ".join(x),) for x in texts], "text string").coalesce(1)
+    sent, sums = [], pitmanyor._sums
+    monkeypatch.setattr(pitmanyor, "_sums", lambda *a: sent.append(sums(*a)) or sent[-1])
+    assert len(pitmanyor.frequent(rows, hold=150_000).words) == words
+    assert len(sent) == passes and sent[0].filter("key != 0").count() <= 2
