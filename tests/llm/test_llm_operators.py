@@ -281,6 +281,34 @@ def test_components_are_those_of_all_candidates(spark, monkeypatch, width):
     assert got == want
 
 
+@pytest.mark.parametrize("few", [0, components.FEW])
+def test_few_links_are_joined_without_rounds_of_tasks(spark, monkeypatch, few):
+    """The same components by either way; few links take fewer tasks than one shuffle of 97 parts has."""
+    monkeypatch.setattr(components, "FEW", few)
+    rng = random.Random(11)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)]
+    edges = staged(spark.createDataFrame(links, "a long, b long").coalesce(1), "links")
+    want = {x: x for pair in links if pair[0] != pair[1] for x in pair}
+    for _ in want:
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97" if few else before)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(not few).lower())
+    spark.sparkContext.setJobGroup(f"links {few}", "")
+    try:
+        got = {r["node"]: r["root"] for r in components.roots(edges).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+    told = spark.sparkContext.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup(f"links {few}") for s in told.getJobInfo(j).stageIds]
+    assert not few or 0 < sum(s.numTasks for s in stages if s) < 97
+
+
 def test_registers_estimate_weighted_jaccard():
     item = np.arange(1, 61, dtype=np.uint64)
     of = np.repeat([0, 1], 40)
@@ -435,6 +463,35 @@ def test_bands_find_pairs_at_the_threshold(spark):
     assert len(candidates(spark, pairs)) >= 0.99 * len(pairs)
 
 
+def test_unlike_lines_are_left_out_before_their_texts_are_read(spark):
+    """Band keys tell unlike pairs; no pair at the threshold is taken for one."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    new = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    grams = lambda x: {x[k : k + 5] for k in range(len(x) - 4)}
+    near, unlike = [], []
+    for n in (14, 40, 150) * 60:
+        x = last = y = new(n)
+        while len(grams(x) & grams(y)) >= 0.8 * len(grams(x) | grams(y)):
+            last, at = y, rng.randrange(n)
+            y = y[:at] + rng.choice(letters) + y[at + 1 :]
+        near += [(x, last)] if x != last else []
+        z = new(n)
+        unlike.append((z, z[: n // 3] + new(n - n // 3)))
+    pairs = near + unlike
+    df = spark.createDataFrame([(2 * i + j, x) for i, pair in enumerate(pairs) for j, x in enumerate(pair)], "doc_id long, text string")
+    signed = lines.signed(lines.cut(df, "doc_id", "text")).select(F.col("__keeper.__id").alias("id"), lines._bands().alias("bands"))
+    bands = {r["id"]: r["bands"] for r in signed.collect()}
+    assert all(len(set(x)) == lines.MINIMA // lines.ROWS for x in bands.values())
+    both = spark.createDataFrame([(i, bands[2 * i], bands[2 * i + 1]) for i in range(len(pairs))], "i long, a array<long>, b array<long>")
+    could = {r["i"] for r in both.filter(lines._could(F.col("a"), F.col("b"))).collect()}
+    field = lambda key, r: key >> lines.BITS * r & (1 << lines.BITS) - 1
+    equal = lambda i: sum(field(x, r) == field(y, r) for x, y in zip(bands[2 * i], bands[2 * i + 1], strict=True) for r in range(lines.ROWS))
+    assert could == {i for i in range(len(pairs)) if equal(i) > lines.UNLIKE}
+    assert set(range(len(near))) <= could
+    assert len([i for i in could if i >= len(near)]) <= 0.02 * len(unlike)
+
+
 # --- 5: BPE
 
 
