@@ -72,6 +72,23 @@ def test_scores_do_not_depend_on_what_is_broadcast(spark, docs, kinds):
     assert pitmanyor.perplexity(held) < pitmanyor.perplexity(held, "base_score")
 
 
+def test_rare_words_are_met_by_hash_in_large_batches(spark, monkeypatch):
+    """Words that are not broadcast: neither side is sorted, and batches are bounded by their bytes."""
+    rows = spark.createDataFrame([("a b a b c a",), ("b a c",)], "text string")
+    model = pitmanyor.train(rows, samples=1)
+    met = {}
+
+    def kept(df, name):
+        sizes = [spark.conf.get(f"spark.sql.execution.arrow.{x}PerBatch", None) for x in ("maxRecords", "maxBytes")]
+        met[name] = df._jdf.queryExecution().executedPlan().toString(), *sizes
+        return staged(df, name)
+
+    monkeypatch.setattr(pitmanyor, "staged", kept)
+    assert [r["n_known"] for r in pitmanyor.score(rows, model, kinds=0).collect()] == [7, 4]
+    plan, records, size = met["sums"]
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and int(records) > 512 and int(size) == 8 << 20
+
+
 def test_probabilities_sum_to_one(spark):
     model = pitmanyor.train(spark.createDataFrame([("a b a b c a",), ("b a c",)], "text string"), samples=2)
     own = lambda w: textvec.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] & pitmanyor.MASK
